@@ -11,6 +11,44 @@ from gustline.llm.common import table
 from gustline.llm.tokens import default_tokenizer
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustline.llm.pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+#: Pattern and confirmation of each kind in DuckDB's terms, m being the match, t the text, b and e its start and end.
+_D = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN (length({_D}) - i) % 2 = 0 THEN {_D}[i]::INT ELSE 2 * {_D}[i]::INT // 10 + 2 * {_D}[i]::INT % 10 END FOR i IN range(1, length({_D}) + 1)]) % 10 = 0"
+_NUMBERED = "list_aggregate([CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END FOR c IN string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), '')], 'string_agg', '')"
+_OUTSIDE = "NOT regexp_matches(CASE WHEN b > 0 THEN substr(t, b, 1) ELSE '' END, '[A-Za-z0-9]') AND NOT regexp_matches(substr(t, e + 1, 1), '[A-Za-z0-9]')"
+_NEAR = "lower(substr(t, greatest(b - 40, 0) + 1, least(40, b)))"
+_PII = [
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "list_max([try_cast(x AS HUGEINT) FOR x IN string_split(m, '.')]) <= 255"),
+    ("card", "[0-9]([ -]?[0-9])+", f"length({_D}) BETWEEN 13 AND 19 AND {_LUHN}"),
+    ("phone", "\\+[0-9][ ().0-9-]+[0-9]", f"length({_D}) BETWEEN 9 AND 15"),
+    ("iban", "[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?", f"length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, [x::INT FOR x IN string_split({_NUMBERED}, '')]), lambda p, q: (p * 10 + q) % 97) = 1 AND {_OUTSIDE}"),
+    ("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", f"substr(m, 1, 3) NOT IN ('000', '666') AND m[1] <> '9' AND substr(m, 5, 2) <> '00' AND m[-4:] <> '0000' AND regexp_matches({_NEAR}, 'ssn|social security|sozialversicherung') AND {_OUTSIDE}"),
+]
+
+
+def _pii_sql() -> str:
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, t, {i} AS k, '{name}' AS kind, unnest(m) AS m, unnest([list_sum([length(x) FOR x IN s[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) FOR i IN range(1, len(m) + 1)])::BIGINT AS b, '{name}' AS n "
+        f"FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{pattern}') AS m, regexp_split_to_array(coalesce(text, ''), '{pattern}') AS s FROM documents) WHERE len(m) > 0"
+        for i, (name, pattern, _) in enumerate(_PII)
+    )
+    confirm = " ".join(f"WHEN '{name}' THEN {c}" for name, _, c in _PII)
+    span = "kind || ':' || b || ':' || e"
+    counts = ", ".join(f"count(*) FILTER (kind = '{x}') AS n_{x}" for x in ("email", "ip", "card", "phone"))
+    return (
+        f"WITH found AS ({found}), placed AS (SELECT *, b + length(m) AS e FROM found), kept AS (SELECT * FROM placed WHERE CASE kind {confirm} END), "
+        f"by_doc AS (SELECT doc_id, {counts}, string_agg({span}, ',' ORDER BY k, b) FILTER (k < 4) AS base, string_agg({span}, ',' ORDER BY k, b) AS spans FROM kept GROUP BY doc_id) "
+        "SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN by_doc USING (doc_id)"
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gustline.llm.quality_rules import judge
 
@@ -44,5 +82,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer(), most=1024, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op5_token_counts, op6_sstable, op7_near_duplicates, op8_packing)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_quality_rules, op5_token_counts, op6_sstable, op7_near_duplicates, op8_packing)}
+SQL: dict[str, str] = {"op2_pii": _pii_sql()}
