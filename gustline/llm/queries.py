@@ -11,6 +11,12 @@ from gustline.llm.common import table
 from gustline.llm.tokens import default_tokenizer
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustline.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gustline.llm.pii import digest
 
@@ -82,5 +88,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer(), most=1024, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_quality_rules, op5_token_counts, op6_sstable, op7_near_duplicates, op8_packing)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gustline.llm.quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_quality_rules, op5_token_counts, op6_sstable, op7_near_duplicates, op8_packing, op10_quality_classifier)}
 SQL: dict[str, str] = {"op2_pii": _pii_sql()}
