@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gustline.llm.common import by_text, held_out, id_and_text, labelled
 from gustline.llm.quality_rules import measure
@@ -126,18 +127,32 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
     return fit_pu(positive, unlabelled, prior=float(np.clip(seen, 0.05, 0.95)))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document.
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; keep: the columns of docs, score and predicted.
 
     Null and empty texts get the score of a text without words; rows with the
-    same doc_id are scored each on their own; other columns are left out; an
-    empty table gives no rows. The model's few hundred numbers go with the tasks.
+    same doc_id are scored each on their own; an empty table gives no rows.
+    keep needs columns of other names than score and predicted. The model's few
+    hundred numbers go with the tasks.
     """
 
+    def chances(texts: list) -> pa.Array:
+        x = np.array([features(t or "") for t in texts], dtype=np.float64).reshape(len(texts), N_FEATURES)
+        return pa.array(model.score(x), pa.float64())
+
+    if keep:
+        at = docs.columns.index("text")
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, chances(b.column(at).to_pylist())], names=[*b.schema.names, "score"])
+
+        schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+        return docs.mapInArrow(whole, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in by_text(batches):
-            x = np.array([features(t) for t in texts], dtype=np.float64).reshape(len(texts), N_FEATURES)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), chances(texts)], names=["doc_id", "score"])
 
     out = id_and_text(docs).mapInArrow(run, _OUT)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
