@@ -184,7 +184,7 @@ class _Links:
         return rows.join(c, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 4, first: int = 4, small: int = 8, block: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 4, first: int = 4, small: int = 8, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs.
 
     Two documents are linked if 100 * intersection >= percent * union of their
@@ -239,6 +239,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _common(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, width: int = 2048) -> np.ndarray:
+    """How many shingles each set of ``one`` has in common with each of ``two``: products of 0/1 matrices, a band of shingles at a time."""
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    doc, column = doc[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(shared), width):
+        low, high = np.searchsorted(column, [at, at + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[doc[low:high], column[low:high] - at] = 1
+        out += m[one] @ m[two].T
+    return out
+
+
 def _several(rows: DataFrame) -> DataFrame:
     """(id, key, n, component) rows of the keys with more than one component."""
     rows = materialize(rows.select("id", "key", "n", "component"), "rows")
@@ -259,27 +279,26 @@ def _in_blocks(left: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     dealt = dealt.join(sets.select("id", "shingles"), "id")
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, comps, blocks, sets_ = (table.column(c).to_pylist() for c in ("id", "component", "block", "shingles"))
-        i = table.column("i")[0].as_py()
-        same = table.column("j")[0].as_py() == i
-        arrays = [np.frombuffer(s, np.uint64) for s in sets_]
-        home, a, b = {x: x for x in comps}, [], []
+        ids, comps, blocks = (np.array(table.column(c).to_pylist()) for c in ("id", "component", "block"))
+        sets_ = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        one, two = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+        n = np.array([len(x) for x in sets_], float)
+        both = _common(sets_, one, two)
+        linked = (100 * both >= percent * (n[one][:, None] + n[two][None, :] - both)) & (comps[one][:, None] != comps[two][None, :])
+        home, a, b = {x: x for x in comps.tolist()}, [], []
 
         def top(x):
             while home[x] != x:
                 home[x] = x = home[home[x]]
             return x
 
-        for x in range(len(ids)):
-            for y in range(x + 1, len(ids)):
-                if (same or blocks[x] != blocks[y]) and (cx := top(comps[x])) != (cy := top(comps[y])):
-                    nx, ny = len(arrays[x]), len(arrays[y])
-                    if 100 * min(nx, ny) >= percent * max(nx, ny):
-                        both = len(np.intersect1d(arrays[x], arrays[y], assume_unique=True))
-                        if 100 * both >= percent * (nx + ny - both):
-                            home[cx] = cy
-                            a.append(ids[x])
-                            b.append(ids[y])
+        for x, y in zip(*(k.tolist() for k in np.nonzero(linked))):
+            x, y = int(one[x]), int(two[y])
+            if (cx := top(int(comps[x]))) != (cy := top(int(comps[y]))):
+                home[cx] = cy
+                a.append(int(ids[x]))
+                b.append(int(ids[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return materialize(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "links")
