@@ -121,43 +121,41 @@ def _(v):
     return gauges.intensities(v("v_gauge_obs")).select("station_id", "n_obs", "n_min", *(F.round(c, 5).alias(c) for c in ("total", "i5", "i15", "i30", "i60")))
 
 
-@query("win_06_series", f"WITH {_MINUTES}, d AS (SELECT station_id, k, total, (total - lag(total, 5) OVER w) * 12 AS i5, ((total - lag(total, 16) OVER w) * 60 / 16 + (total - lag(total, 14) OVER w) * 60 / 14) / 2 AS i15, (total - lag(total, 60) OVER w) AS i60 FROM i WINDOW w AS (PARTITION BY station_id ORDER BY k)) SELECT station_id, count(i5) AS n5, count(i15) AS n15, count(i60) AS n60, round(max(i5), 5) AS i5, round(max(i15), 5) AS i15, round(max(i60), 5) AS i60 FROM d GROUP BY 1")
+@query("win_06_series", f"WITH {_MINUTES}, e AS (SELECT station_id, k, total, (total - lag(total, 5) OVER w) * 12 AS i5, ((total - lag(total, 16) OVER w) * 60 / 16 + (total - lag(total, 14) OVER w) * 60 / 14) / 2 AS i15, (total - lag(total, 60) OVER w) AS i60 FROM i WINDOW w AS (PARTITION BY station_id ORDER BY k)) SELECT station_id, count(i5) AS n5, count(i15) AS n15, count(i60) AS n60, round(max(i5), 5) AS i5, round(max(i15), 5) AS i15, round(max(i60), 5) AS i60 FROM e GROUP BY 1")
 def _(v):
     s = gauges.series(gauges.per_minute(v("v_gauge_obs")))
     return s.groupBy("station_id").agg(*(F.count(f"i{d}").alias(f"n{d}") for d in (5, 15, 60)), *(F.round(F.max(f"i{d}"), 5).alias(f"i{d}") for d in (5, 15, 60)))
 
 
-def _scalar(name: str, source: str, columns: dict[str, tuple[Column, str]], keys: tuple[str, ...] = ("id", "line")) -> None:
+def _scalar(name: str, source: str, columns: dict[str, tuple[Callable[[], Column], str]], keys: tuple[str, ...] = ("id", "line")) -> None:
     """A query of expressions row by row, rounded to six places; columns: name -> (Spark, SQL)."""
-    sql = f"SELECT {', '.join(keys)}, {', '.join(f'round({s}, 6) AS {c}' for c, (_, s) in columns.items())} FROM {source}"
-    query(name, sql)(lambda v: v(source).select(*keys, *(r6(c.cast("double")).alias(n) for n, (c, _) in columns.items())))
+    sql = f"SELECT {', '.join(keys)}, {', '.join(f'round(CAST({s} AS DOUBLE), 6) AS {c}' for c, (_, s) in columns.items())} FROM {source}"
+    query(name, sql)(lambda v: v(source).select(*keys, *(r6(c().cast("double")).alias(n) for n, (c, _) in columns.items())))
 
 
-_dbz, _zdr, _rho, _kdp = (F.col(c) for c in ("dbz", "zdr", "rhohv", "kdp"))
 _Z = "pow(pow(10, least(dbz, 53.0) / 10) / 300, 1 / 1.4)"
 _Z = f"CASE WHEN dbz IS NOT NULL THEN {_Z} END"
 _ZZ = "CASE WHEN dbz IS NOT NULL AND zdr IS NOT NULL THEN 0.0142 * pow(pow(10, least(dbz, 53.0) / 10), 0.770) * pow(pow(10, least(greatest(zdr, 0), 4) / 10), -1.67) END"
 _K = "44 * pow(least(greatest(kdp, 0), 7), 0.822)"
-_scalar("prj_01_accumulation", "v_gates", {"mm": (physics.to_accumulation(_kdp, 15), "kdp * 15 / 60"), "back": (physics.from_accumulation(_kdp, 15), "kdp * 60 / 15")})
-_scalar("prj_03_z_to_rate", "v_gates", {"rate": (physics.z_to_rate(_dbz, cap=53.0), _Z), "tropical": (physics.z_to_rate(_dbz, *physics.RATE_RELATIONS["tropical"]), "pow(pow(10, dbz / 10) / 250, 1 / 1.2)")})
-_scalar("prj_04_zzdr_to_rate", "v_gates", {"rate": (physics.zzdr_to_rate(_dbz, _zdr, 53.0), _ZZ)})
-_scalar("prj_05_kdp_to_rate", "v_gates", {"rate": (physics.kdp_to_rate(_kdp), _K)})
-_scalar("prj_06_blend", "v_gates", {"rate": (physics.blend(physics.kdp_to_rate(_kdp), physics.z_to_rate(_dbz, cap=53.0), _dbz, True), f"CASE WHEN dbz >= 35 AND {_K} > 0 THEN {_K} ELSE {_Z} END")})
-_scalar("prj_16_severity", "v_dnbr", {"usgs": (physics.severity(F.col("v")), "CASE WHEN v IS NOT NULL THEN (v >= 0.1)::INT + (v >= 0.27)::INT + (v >= 0.44)::INT + (v >= 0.66)::INT END"), "barc4": (physics.severity(F.col("v"), "barc4"), "CASE WHEN v IS NOT NULL THEN (v >= 0.125)::INT + (v >= 0.25)::INT + (v >= 0.5)::INT END")})
-_scalar("prj_17_severity_mask", "v_dnbr", {"burnt": (physics.severity_mask(F.col("v"), ["moderate", "high"]).cast("int"), "coalesce((v >= 0.25)::INT, 0)")})
-_scalar("prj_13_humidity", "v_gates", {"rh": (physics.relative_humidity(_kdp * 6, _kdp * 6 - _rho * 9), "exp(17.625 * (kdp * 6 - rhohv * 9) / (243.04 + kdp * 6 - rhohv * 9)) / exp(17.625 * kdp * 6 / (243.04 + kdp * 6))")})
-_scalar("prj_14_evaporation", "v_gates", {"f": (physics.evaporation_factor(_dbz / 2, _kdp, _rho), "CASE WHEN dbz IS NULL THEN NULL WHEN dbz <= 0 THEN 1 ELSE least(1, greatest(0, pow(greatest(pow(greatest(dbz / 2, 0), 0.35) - 0.35 * (1 - rhohv) * kdp, 0), 1 / 0.35) / (dbz / 2))) END")})
-_scalar("prj_15_beam_height", "v_gates", {"h": (physics.beam_height_m(F.lit(1500.0), _kdp * 20000, F.lit(0.5)), "1500 + kdp * 20000 * sin(radians(0.5)) + pow(kdp * 20000, 2) / (2 * 4.0 / 3 * 6371000)")})
-_scalar("prj_23_climate_depth", "v_gates", {"i": (physics.depth_to_intensity(_kdp * 1000, 15), "kdp * 25.4 * 60 / 15")})
-_scalar("prj_22_units", "v_flow", {"cms": (F.col("cfs") * 0.028316846592, "cfs * 0.028316846592"), "stage_m": (F.col("stage") * 0.3048, "stage * 0.3048")}, ("site", "seq"))
-_lon, _lat = F.col("lon"), F.col("lat")
+_scalar("prj_01_accumulation", "v_gates", {"mm": (lambda: physics.to_accumulation(F.col("kdp"), 15), "kdp * 15 / 60"), "back": (lambda: physics.from_accumulation(F.col("kdp"), 15), "kdp * 60 / 15")})
+_scalar("prj_03_z_to_rate", "v_gates", {"rate": (lambda: physics.z_to_rate(F.col("dbz"), cap=53.0), _Z), "tropical": (lambda: physics.z_to_rate(F.col("dbz"), *physics.RATE_RELATIONS["tropical"]), "pow(pow(10, dbz / 10) / 250, 1 / 1.2)")})
+_scalar("prj_04_zzdr_to_rate", "v_gates", {"rate": (lambda: physics.zzdr_to_rate(F.col("dbz"), F.col("zdr"), 53.0), _ZZ)})
+_scalar("prj_05_kdp_to_rate", "v_gates", {"rate": (lambda: physics.kdp_to_rate(F.col("kdp")), _K)})
+_scalar("prj_06_blend", "v_gates", {"rate": (lambda: physics.blend(physics.kdp_to_rate(F.col("kdp")), physics.z_to_rate(F.col("dbz"), cap=53.0), F.col("dbz"), True), f"CASE WHEN dbz >= 35 AND {_K} > 0 THEN {_K} ELSE {_Z} END")})
+_scalar("prj_16_severity", "v_dnbr", {"usgs": (lambda: physics.severity(F.col("v")), "CASE WHEN v IS NOT NULL THEN (v >= 0.1)::INT + (v >= 0.27)::INT + (v >= 0.44)::INT + (v >= 0.66)::INT END"), "barc4": (lambda: physics.severity(F.col("v"), "barc4"), "CASE WHEN v IS NOT NULL THEN (v >= 0.125)::INT + (v >= 0.25)::INT + (v >= 0.5)::INT END")})
+_scalar("prj_17_severity_mask", "v_dnbr", {"burnt": (lambda: physics.severity_mask(F.col("v"), ["moderate", "high"]).cast("int"), "coalesce((v >= 0.25)::INT, 0)")})
+_scalar("prj_13_humidity", "v_gates", {"rh": (lambda: physics.relative_humidity(F.col("kdp") * 6, F.col("kdp") * 6 - F.col("rhohv") * 9), "exp(17.625 * (kdp * 6 - rhohv * 9) / (243.04 + kdp * 6 - rhohv * 9)) / exp(17.625 * kdp * 6 / (243.04 + kdp * 6))")})
+_scalar("prj_14_evaporation", "v_gates", {"f": (lambda: physics.evaporation_factor(F.col("dbz") / 2, F.col("kdp"), F.col("rhohv")), "CASE WHEN dbz IS NULL THEN NULL WHEN dbz <= 0 THEN 1 ELSE least(1, greatest(0, pow(greatest(pow(greatest(dbz / 2, 0), 0.35) - 0.35 * (1 - rhohv) * kdp, 0), 1 / 0.35) / (dbz / 2))) END")})
+_scalar("prj_15_beam_height", "v_gates", {"h": (lambda: physics.beam_height_m(F.lit(1500.0), F.col("kdp") * 20000, F.lit(0.5)), "1500 + kdp * 20000 * sin(radians(0.5)) + pow(kdp * 20000, 2) / (2 * 4.0 / 3 * 6371000)")})
+_scalar("prj_23_climate_depth", "v_gates", {"i": (lambda: physics.depth_to_intensity(F.col("kdp") * 1000, 15), "kdp * 25.4 * 60 / 15")})
+_scalar("prj_22_units", "v_flow", {"cms": (lambda: F.col("cfs") * 0.028316846592, "cfs * 0.028316846592"), "stage_m": (lambda: F.col("stage") * 0.3048, "stage * 0.3048")}, ("site", "seq"))
 _HAV = "2 * 6371 * asin(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))"
-_scalar("prj_24_distances", "v_points", {"km": (geo.haversine_km(_lat, _lon, F.lit(39.5), F.lit(-119.6)), _HAV.format(a="lat", b="39.5", c="lon", d="-119.6")), "box_km": (geo.bbox_distance_km(_lon, _lat, BOX), f"sqrt(pow(greatest({BOX[0]} - lon, 0, lon - ({BOX[2]})), 2) + pow(greatest({BOX[1]} - lat, 0, lat - {BOX[3]}), 2)) * 111.32"), "utm": (geo.utm_epsg(_lon, _lat), "floor((lon + 180) / 6) + 1 + 32600")}, ("id",))
-_scalar("flt_04_stations", "v_points", {"keep": (((geo.bbox_distance_km(_lon, _lat, BOX) <= 5) & (F.col("val") > 1) & F.coalesce(F.col("report_min") <= 60, F.lit(True))).cast("int"), f"(sqrt(pow(greatest({BOX[0]} - lon, 0, lon - ({BOX[2]})), 2) + pow(greatest({BOX[1]} - lat, 0, lat - {BOX[3]}), 2)) * 111.32 <= 5 AND val > 1 AND coalesce(report_min <= 60, true))::INT")}, ("id",))
+_scalar("prj_24_distances", "v_points", {"km": (lambda: geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(39.5), F.lit(-119.6)), _HAV.format(a="lat", b="39.5", c="lon", d="-119.6")), "box_km": (lambda: geo.bbox_distance_km(F.col("lon"), F.col("lat"), BOX), f"sqrt(pow(greatest({BOX[0]} - lon, 0, lon - ({BOX[2]})), 2) + pow(greatest({BOX[1]} - lat, 0, lat - {BOX[3]}), 2)) * 111.32"), "utm": (lambda: geo.utm_epsg(F.col("lon"), F.col("lat")), "floor((lon + 180) / 6) + 1 + 32600")}, ("id",))
+_scalar("flt_04_stations", "v_points", {"keep": (lambda: ((geo.bbox_distance_km(F.col("lon"), F.col("lat"), BOX) <= 5) & (F.col("val") > 1) & F.coalesce(F.col("report_min") <= 60, F.lit(True))).cast("int"), f"(sqrt(pow(greatest({BOX[0]} - lon, 0, lon - ({BOX[2]})), 2) + pow(greatest({BOX[1]} - lat, 0, lat - {BOX[3]}), 2)) * 111.32 <= 5 AND val > 1 AND coalesce(report_min <= 60, true))::INT")}, ("id",))
 
 
 def _hydro(v):
-    return v("v_gates").withColumn("h", physics.hydro_select(_dbz, _zdr, _rho, physics.z_to_rate(_dbz, cap=53.0), physics.kdp_to_rate(_kdp), physics.zzdr_to_rate(_dbz, _zdr, 53.0)))
+    return v("v_gates").withColumn("h", physics.hydro_select(F.col("dbz"), F.col("zdr"), F.col("rhohv"), physics.z_to_rate(F.col("dbz"), cap=53.0), physics.kdp_to_rate(F.col("kdp")), physics.zzdr_to_rate(F.col("dbz"), F.col("zdr"), 53.0)))
 
 
 _HYDRO = f"b AS (SELECT *, {_Z} AS rz, {_ZZ} AS rzz, {_K} AS rk FROM v_gates), h AS (SELECT *, CASE WHEN dbz IS NULL THEN 0 WHEN rhohv < 0.85 THEN 4 WHEN dbz >= 45 AND zdr <= 0.8 THEN 3 WHEN dbz >= 35 AND rzz IS NOT NULL THEN 2 ELSE 1 END AS class, CASE WHEN rk > 0 THEN least(rk, 1.5 * rz) ELSE rz END AS rh FROM b), s AS (SELECT *, CASE class WHEN 1 THEN rz WHEN 2 THEN rzz WHEN 3 THEN rh WHEN 4 THEN 0 END AS rate, CASE class WHEN 1 THEN rz WHEN 2 THEN least(rz, rzz) WHEN 3 THEN least(rh, rz) WHEN 4 THEN 0 END AS lo, CASE class WHEN 1 THEN rz WHEN 2 THEN greatest(rz, rzz) WHEN 3 THEN greatest(rh, rz) WHEN 4 THEN 0 END AS hi FROM h)"
@@ -237,7 +235,7 @@ _XY = "(lon + 119.6) * (111320 * cos(radians(39.5))) AS x, (lat - 39.5) * 111320
 
 
 def _in_metres(df):
-    x, y = geo.local_metres(_lon, _lat, -119.6, 39.5)
+    x, y = geo.local_metres(F.col("lon"), F.col("lat"), -119.6, 39.5)
     return df.withColumn("x", x).withColumn("y", y)
 
 
@@ -362,7 +360,7 @@ def _(v):
 def _(v):
     p = v("v_points")
     sites = p.where("id <= 9").select(F.col("id").alias("sid"), F.col("lon").alias("slon"), F.col("lat").alias("slat"))
-    return catalog.nearest_site(p.select("id", "lon", "lat"), sites, geo.haversine_km(_lat, _lon, F.col("slat"), F.col("slon"))).withColumn("km", r6("km"))
+    return catalog.nearest_site(p.select("id", "lon", "lat"), sites, geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).withColumn("km", r6("km"))
 
 
 @query("jon_12_nearest_gate", "WITH d AS (SELECT a.id AS tid, b.id AS sid, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM v_mines a, v_mines b WHERE a.id % 7 = 0 AND b.id % 7 <> 0), m AS (SELECT tid, arg_min(sid, (d, sid)) AS sid, min(d) AS d FROM d WHERE d <= 150 GROUP BY 1) SELECT a.id AS tid, m.sid, round(m.d, 6) AS d FROM v_mines a LEFT JOIN m ON m.tid = a.id WHERE a.id % 7 = 0")
