@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gustline.llm.common import ship_package
 from gustline.llm.tokens import _CUT, Coder
 
 
@@ -139,5 +140,6 @@ def count_with_edits(docs: DataFrame, edits: Column, tokenizer: str, run: int =
     means no edits; rows with the same doc_id are counted each on their own;
     other columns are left out; an empty table gives no rows.
     """
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), edits.alias("edits"))
     return rows.mapInArrow(_kernel(tokenizer, run), _OUT)

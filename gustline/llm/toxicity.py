@@ -175,6 +175,9 @@ class Decoder:
         tokens = set(text.split())
         seen = self.seen
         out = {seen.get(t) or self.restore(t) for t in tokens}
+        if sum(len(t) == 1 for t in tokens) < 3:  # a word spelt out has three different characters at least
+            out.discard("")
+            return out
         for m in _SPACED.finditer(text):
             out.add(self.restore("".join(x for x in fold(m.group()) if not x.isspace() and x not in ".-_")))
         out.discard("")
@@ -245,8 +248,8 @@ def _df_kernel(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, counts = _decoder(shared), {}
         for b in batches:
-            for doc, text, y in zip(*(c.to_pylist() for c in b.columns)):
-                counts.setdefault((doc % 2, y), Counter()).update({x for w in decoder.words(text) for x in stems(w)})
+            for half, text, y in zip(*(c.to_pylist() for c in b.columns)):
+                counts.setdefault((half, y), Counter()).update({x for w in decoder.words(text) for x in stems(w)})
         for (fold_, y), c in counts.items():
             words = list(c)
             n = [c[w] for w in words]
@@ -259,8 +262,8 @@ def _evidence_kernel(shared, lexicons):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, by = _decoder(shared), lexicons.value
         for b in batches:
-            x = [by[1 - doc % 2].evidence(decoder.words(text)) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            x = [by[1 - half].evidence(decoder.words(text)) for half, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["half", "label", "x"])
 
     return run
 
@@ -274,8 +277,9 @@ def train(docs: DataFrame, labels: DataFrame, shared, most: int = 20_000, words:
     so that it doesn't trust words that only the training rows have. Without
     labels of both kinds every document scores the same.
     """
-    rows = materialize(labelled(docs, labels, "toxic", most), "labelled")
-    total = {(r["fold"], r["label"]): r["count"] for r in rows.groupBy(F.pmod("doc_id", F.lit(2)).alias("fold"), "label").count().collect()}
+    half = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("int").alias("half")
+    rows = materialize(labelled(docs, labels, "toxic", most).select(half, "text", "label"), "labelled")
+    total = {(r["half"], r["label"]): r["count"] for r in rows.groupBy("half", "label").count().collect()}
     df = materialize(rows.mapInArrow(_df_kernel(shared), "word string, fold int, toxic long, clean long").groupBy("word").agg(*(F.sum(F.when(F.col("fold").isin(*f), F.col(c))).alias(f"{c}{i}") for i, f in enumerate(((0,), (1,), (0, 1))) for c in ("toxic", "clean"))), "frequencies")
     lexicons = []
     for i, folds in enumerate(((0,), (1,), (0, 1))):
@@ -285,8 +289,10 @@ def train(docs: DataFrame, labels: DataFrame, shared, most: int = 20_000, words:
         top = df.where(F.col(f"toxic{i}") >= 2).withColumn("w", weight).where("w > 0.5").orderBy(F.desc("w"), "word").limit(words).collect()
         lexicons.append(Lexicon({r["word"]: r["w"] for r in top}))
     halves = docs.sparkSession.sparkContext.broadcast(lexicons[:2])
-    seen = rows.mapInArrow(_evidence_kernel(shared, halves), "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id")
-    x, y = np.array(seen["x"].tolist(), float).reshape(len(seen), -1), seen["label"].to_numpy(float)
+    seen = rows.mapInArrow(_evidence_kernel(shared, halves), "half int, label int, x array<double>").toPandas()
+    x, y = np.array(seen["x"].tolist(), float).reshape(len(seen), 6), seen["label"].to_numpy(float)
+    order = np.lexsort((y, *x.T))  # whatever order the rows came in
+    x, y = x[order], y[order]
     if not len(y) or y.min() == y.max():
         return lexicons[2], np.zeros(7)
     return lexicons[2], fit_logistic(x, y)
