@@ -337,7 +337,7 @@ def _(v):
     return v("pages").select("page_id", F.explode(catalog.hrefs(F.col("html"))).alias("href"))
 
 
-@query("agg_16_class_table", "WITH c AS (SELECT (v >= 0.1)::INT + (v >= 0.27)::INT + (v >= 0.44)::INT + (v >= 0.66)::INT AS class FROM v_dnbr WHERE v IS NOT NULL) SELECT class, count(*) AS pixels, round(count(*) * 0.0036, 6) AS area_km2, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM c GROUP BY 1")
+@query("agg_16_class_table", "WITH c AS (SELECT (v >= 0.1)::INT + (v >= 0.27)::INT + (v >= 0.44)::INT + (v >= 0.66)::INT AS class FROM v_dnbr WHERE v IS NOT NULL) SELECT class, count(*) AS pixels, round(CAST(count(*) * 0.0036 AS DOUBLE), 6) AS area_km2, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM c GROUP BY 1")
 def _(v):
     t = catalog.class_table(v("v_dnbr").select(physics.severity(F.col("v")).alias("class")), 0.0036)
     return t.select("class", "pixels", r6("area_km2").alias("area_km2"), r6("fraction").alias("fraction"))

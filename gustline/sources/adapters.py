@@ -1,7 +1,7 @@
 """Views that give the driver's tables the shape of storm data.
 
 Each is one SQL text that Spark and DuckDB read alike, but for the few places
-where the dialects differ: those are written {minutes(n)} and {days(d)}.
+where the dialects differ: those are written {minutes(n)}, {days(d)} and {hour(t)}.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ VIEWS = {
         (SELECT DISTINCT step, {minutes(step)} AS t0 FROM (SELECT {days(o_orderdate)} AS step FROM orders) q WHERE step % 97 <> 0) s
         CROSS JOIN (SELECT DISTINCT CAST(o_custkey % 8 AS INT) AS cell FROM orders) c
         LEFT JOIN (SELECT {days(o_orderdate)} AS step, CAST(o_custkey % 8 AS INT) AS cell, SUM(o_totalprice) / 1e5 AS rate FROM orders GROUP BY 1, 2) r ON r.step = s.step AND r.cell = c.cell""",
-    "v_hours": "SELECT DATE_TRUNC('hour', ts) AS t, cell, MAX(rate) AS value FROM v_scans GROUP BY 1, 2",
+    "v_hours": "SELECT {hour(ts)} AS t, cell, MAX(rate) AS value FROM v_scans GROUP BY 1, 2",
     "v_gauge_obs": "SELECT user_id AS station_id, ts, CASE WHEN event_type = 'error' THEN NULL ELSE value / 100 END AS precip FROM events",
     "v_gates": """SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE l_quantity + 10 END AS dbz,
         CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_discount * 40 - 0.2 END AS zdr, 1 - l_tax * 3 AS rhohv, l_quantity / 12 AS kdp FROM lineitem""",
@@ -36,8 +36,8 @@ VIEWS = {
         (SELECT CAST(1 AS DOUBLE) AS ari UNION ALL SELECT 2.0 UNION ALL SELECT 5.0 UNION ALL SELECT 10.0 UNION ALL SELECT 25.0 UNION ALL SELECT 50.0 UNION ALL SELECT 100.0 UNION ALL SELECT 200.0 UNION ALL SELECT 500.0 UNION ALL SELECT 1000.0) a""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
-_SPARK = {"minutes": lambda x: f"timestampadd(MINUTE, ({x}) * 2, TIMESTAMP_NTZ'2024-01-01 00:00:00')", "days": lambda x: f"datediff(CAST({x} AS DATE), DATE'1995-01-01')"}
-_DUCKDB = {"minutes": lambda x: f"TIMESTAMP '2024-01-01' + to_minutes(CAST(({x}) * 2 AS BIGINT))", "days": lambda x: f"date_diff('day', DATE '1995-01-01', CAST({x} AS DATE))"}
+_SPARK = {"minutes": lambda x: f"timestampadd(MINUTE, ({x}) * 2, TIMESTAMP_NTZ'2024-01-01 00:00:00')", "days": lambda x: f"datediff(CAST({x} AS DATE), DATE'1995-01-01')", "hour": lambda x: f"CAST(DATE_TRUNC('hour', {x}) AS TIMESTAMP_NTZ)"}
+_DUCKDB = {"minutes": lambda x: f"TIMESTAMP '2024-01-01' + to_minutes(CAST(({x}) * 2 AS BIGINT))", "days": lambda x: f"date_diff('day', DATE '1995-01-01', CAST({x} AS DATE))", "hour": lambda x: f"date_trunc('hour', {x})"}
 
 
 def _written(sql: str, dialect: dict) -> str:
