@@ -4,8 +4,11 @@ Each document is measured once. The measures of each (lang, source) go into
 mergeable quantile sketches: counts of logarithmic buckets, as in DDSketch, so
 two sketches merge by adding counts and a quantile is within ``accuracy`` of
 the true one. The upper fence of a measure, third quartile plus a multiple of
-the interquartile range, comes from the group's own sketch, from the merged
-sketch of its language where the group is small, or from that of all documents.
+the spread, comes from the group's own sketch, from the merged sketch of its
+language where the group is small, or from that of all documents. The spread is
+the interquartile range, or, where that is less (most values of a rare event
+are zero), what one event makes of a short document: one at the lower quartile
+of the same sketch's lengths.
 Joined to the measures, the fences decide.
 """
 
@@ -25,13 +28,13 @@ _OUT = "doc_id long, lang string, source string, n_words long, word_chars long,
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(x for x in range(256) if x not in _SYMBOLS)
 _SPACE = b" \t\n\x0b\x0c\r"
-#: Measure: (numerator, denominator, least fence). A fence is never below the last, the slack that any group is given.
+#: Measure: (numerator, denominator, what one event adds to the numerator; a repeat is two windows of three words).
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 0.25),
-    "repeats": ("n_repeat_words", "n_words", 0.30),
-    "dup_lines": ("n_dup_lines", "n_words", 0.05),
-    "uppers": ("n_upper", "n_words", 0.40),
-    "word_length": ("word_chars", "n_words", 12.0),
+    "symbols": ("n_symbols", "n_words", 1),
+    "repeats": ("n_repeat_words", "n_words", 6),
+    "dup_lines": ("n_dup_lines", "n_words", 1),
+    "uppers": ("n_upper", "n_words", 1),
+    "word_length": ("word_chars", "n_words", 0),
 }
 
 
@@ -76,12 +79,13 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def sketches(measured: DataFrame, accuracy: float = 0.01) -> DataFrame:
-    """One row per (lang, source, measure, bucket) with its count n; bucket null stands for zero.
+    """One row per (lang, source, measure, bucket) with its count n; bucket null stands for zero; n_words is a measure too.
 
     Counted map-side first, so a hot source costs one row per task and bucket.
     """
     gamma = math.log((1 + accuracy) / (1 - accuracy))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), (F.col(a) / F.col(b)).alias("x")) for k, (a, b, _) in MEASURES.items())))
+    shares = [(k, F.col(a) / F.col(b)) for k, (a, b, _) in MEASURES.items()] + [("n_words", F.col("n_words").cast("double"))]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), x.alias("x")) for k, x in shares)))
     long = measured.where("n_words > 0").select("lang", "source", each.alias("m")).select("lang", "source", "m.measure", F.when(F.col("m.x") > 0, F.ceil(F.log("m.x") / gamma)).alias("bucket"))
     return long.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
@@ -99,14 +103,16 @@ def quantiles(sketch: DataFrame, by: list[str], qs: list[float], accuracy: float
 def fences(sketch: DataFrame, spread: float = 3.0, least: int = 50, accuracy: float = 0.01) -> DataFrame:
     """One row per (lang, source) with a fence for each measure."""
     levels = []
+    event = F.create_map(*(x for k, (_, _, e) in MEASURES.items() for x in (F.lit(k), F.lit(float(e)))))
     for by in (["lang", "source"], ["lang"], []):
         q = quantiles(sketch, [*by, "measure"], [0.25, 0.75], accuracy)
-        levels.append(q.select(*by, "measure", F.col("n").alias(f"n{len(by)}"), (F.col("q1") + spread * (F.col("q1") - F.col("q0"))).alias(f"f{len(by)}")))
+        short = F.max(F.when(F.col("measure") == "n_words", F.col("q0"))).over(Window.partitionBy(*by))  # six rows a group
+        fence = F.col("q1") + spread * F.greatest(F.col("q1") - F.col("q0"), event[F.col("measure")] / short)
+        levels.append(q.select(*by, "measure", F.col("n").alias(f"n{len(by)}"), fence.alias(f"f{len(by)}")).where("measure <> 'n_words'"))
     own, lang, every = levels
     joined = own.join(lang, ["lang", "measure"]).join(every, ["measure"])
     fence = F.when(F.col("n2") >= least, F.col("f2")).when(F.col("n1") >= least, F.col("f1")).otherwise(F.col("f0"))
-    slack = F.create_map(*(x for k, (_, _, s) in MEASURES.items() for x in (F.lit(k), F.lit(s))))
-    joined = joined.withColumn("fence", F.greatest(fence, slack[F.col("measure")]))
+    joined = joined.withColumn("fence", fence)
     return joined.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == k, F.col("fence"))).alias(f"fence_{k}") for k in MEASURES))
 
 

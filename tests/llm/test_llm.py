@@ -180,6 +180,17 @@ def test_sketch_quantiles(spark):
     assert q["q0"] == pytest.approx(100 / 11, rel=0.02) and q["q1"] == pytest.approx(300 / 11, rel=0.02)
 
 
+def test_quality_fences_follow_their_group(spark):
+    r = random.Random(12)
+    words = lambda n, k: " ".join("".join(r.choice("abcdefgh") for _ in range(k + r.randint(0, 1))) for _ in range(n))
+    rows = [(i, "en", ("short", "long")[i % 2], words(100 + i % 50, (3, 13)[i % 2])) for i in range(400)]
+    rows += [(1000, "en", "short", words(120, 8)), (1001, "en", "long", words(120, 13)), (1002, "en", "short", words(120, 3) + " #" * 12), (1003, "en", "short", words(120, 3) + " #")]
+    out = {x.doc_id: x for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    assert np.mean([out[i].kept for i in range(400)]) > 0.97  # the long words of a source that has no others are no fault
+    assert not out[1000].kept and out[1001].kept  # words of eight letters stand out among words of three
+    assert not out[1002].kept and out[1003].kept  # no other document has a symbol: one is nothing, twelve are
+
+
 def test_html(spark):
     page = "<html><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div id=sidebar><p>Side, bar, text, here</p></div><div class='post-content'><h2>Title</h2><p>Real text, with commas, and more &amp; more.<p>Second   para<br>line. <a href=x>link</a></div><div class=comments><p>Nice, post, really, great, stuff.</p></div><form><p>sub</p></form><script>x='<p>'</script></body></html>"
     assert html.extract(page) == "Title\nReal text, with commas, and more & more.\nSecond para line. link"
