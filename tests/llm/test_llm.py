@@ -268,6 +268,16 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_commonest_word_of_all():
+    kinds = [f"w{i}" for i in range(40)]
+    words = kinds + [w for w in ("w7", "w31") for _ in range(20)]
+    for seed in range(8):
+        random.Random(seed).shuffle(words)
+        assert quality_classifier.features(" ".join(words))[11] == 21 / 80
+    for w in kinds:
+        assert quality_classifier.features(" ".join(kinds + [w] * 40))[11] == 41 / 80
+
+
 def test_entry_without_the_subpackage():
     import subprocess
     import sys
