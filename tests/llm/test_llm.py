@@ -222,6 +222,34 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0 and decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def test_decontamination_of_an_item_in_many_documents(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    items = [" ".join(word() for _ in range(n)) for n in (30, 20, 45, 2)]
+    docs, want = [], set()
+    for i in range(200):
+        text = [word() for _ in range(r.randint(20, 90))]
+        k = 0 if i % 3 == 0 else 1 if i % 8 == 1 else 2 if i == 4 else 3 if i == 5 else None
+        if k is not None:
+            item = items[k].split()
+            if i % 6 == 3:  # every fourth word is another
+                item = [word() if j % 4 == 3 else w for j, w in enumerate(item)]
+            text[11:11] = item
+            want.add((i, k))
+        docs.append((i, " ".join(text)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.contaminated(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == want
+    words = sorted({w.encode() for t in items for w in t.split()})
+    assert decontaminate.document_frequencies(d, words, items)[1].max() <= 20  # short words turn up by chance
+
+
+def test_runs_stay_in_their_text():
+    runs = decontaminate.Runs([np.array([0, 1, 2, 3]), np.array([4]), np.array([], int)], 6)
+    assert runs.find([np.array([0, 1]), np.array([2, 3, -1]), np.array([5, 0, 1, 2, 5]), np.array([], int), np.array([-1, 4])]) == [(2, 0, 1, 4), (4, 1, 1, 2)]
+    assert runs.find([]) == [] and runs.find([np.array([], int)]) == []
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
