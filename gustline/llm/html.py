@@ -31,6 +31,11 @@ NEVER = frozenset("script style noscript iframe template xmp textarea title head
 #: Names of parts that aren't the article, as whole words of class, id or role.
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget related recommended recommendations more-links popular trending share sharing social comment comments reply replies respond discussion disqus notice notices cookie cookies consent gdpr modal popup overlay newsletter subscribe subscription signup login form search pagination pager skip copyright legal disclaimer toolbar toc tags".split())
 GOOD_WORDS = frozenset("article body content entry main post story text blog hentry page articlebody".split())
+#: Elements that a name alone doesn't make bad.
+ROOTS = frozenset("html body article main".split())
+#: "has-sidebar", "no-comments": what is said of a part, not its name.
+_ABOUT = re.compile(r"(?<![A-Za-z])(?:has|have|with|without|no|not)[-_]+[A-Za-z]+", re.I)
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 #: Elements nested deeper than this stay empty, and what they hold goes to the one above: no page can exhaust the stack.
 DEEPEST = 200
@@ -38,14 +43,16 @@ _WORD = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "good", "points", "chars", "link_chars", "depth")
+    __slots__ = ("tag", "parent", "children", "bad", "good", "doubtful", "points", "chars", "link_chars", "depth")
 
     def __init__(self, tag: str, parent: "Node | None", names: str = "", hidden: bool = False):
         self.tag, self.parent, self.children = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
-        words = {w.lower() for w in _WORD.findall(names)} if names else ()
+        words = {w.lower() for w in _WORD.findall(_ABOUT.sub(" ", names))} if names else ()
         self.good = bool(words) and not GOOD_WORDS.isdisjoint(words) or tag in ("article", "main")
-        self.bad = hidden or tag in NEVER or bool(words) and not BAD_WORDS.isdisjoint(words) or tag == "header" and (parent is None or parent.tag in ("body", "html", "root"))
+        named = bool(words) and not BAD_WORDS.isdisjoint(words)
+        self.doubtful = named and self.good and tag not in ROOTS  # its share of links decides
+        self.bad = hidden or tag in NEVER or named and not self.good and tag not in ROOTS or tag == "header" and (parent is None or parent.tag in ("body", "html", "root"))
         self.points = 0.0
         self.chars = self.link_chars = 0
 
@@ -122,6 +129,15 @@ def _text(node: Node) -> str:
     return "".join(c if isinstance(c, str) else "" if c.bad else _text(c) for c in node.children)
 
 
+def _is_out(node: Node | None) -> bool:
+    """Whether the node, or one above it, turned out bad."""
+    while node is not None:
+        if node.bad:
+            return True
+        node = node.parent
+    return False
+
+
 def score(root: Node) -> Node | None:
     """Pass the points on and choose the best container, None if no paragraph has any text."""
     containers: dict[int, Node] = {}
@@ -141,11 +157,15 @@ def score(root: Node) -> Node | None:
                 elif not c.bad:
                     node.chars += c.chars
                     node.link_chars += c.link_chars
+            if node.doubtful and 2 * node.link_chars > node.chars:
+                node.bad = True
             order.append(node)
             continue
         stack.append((node, in_link, True))
         stack += [(c, in_link, False) for c in node.children if not isinstance(c, str)]
     for node in order:
+        if _is_out(node):
+            continue
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         if not node.chars or node.tag not in PARAGRAPH and (node.tag in INLINE or not own):
             continue
@@ -171,7 +191,7 @@ def score(root: Node) -> Node | None:
 
 
 def _chosen(best: Node) -> list[Node]:
-    """The best container and its siblings that score near it or read like prose."""
+    """The best container and its siblings that score near it, are headings or read like prose, however short."""
     if best.parent is None or best.tag in ("article", "main", "body", "html"):
         return [best]
     out = []
@@ -180,7 +200,7 @@ def _chosen(best: Node) -> list[Node]:
             out.append(s)
         elif not isinstance(s, str) and not s.bad and s.chars:
             links = s.link_chars / s.chars
-            if s.points * (1 - links) >= max(10, 0.2 * best.points) or s.tag in PARAGRAPH and links < 0.25 and s.chars > 80:
+            if s.points * (1 - links) >= max(10, 0.2 * best.points) or s.tag in PARAGRAPH and links < 0.25 or s.tag in HEADING and links < 1:
                 out.append(s)
     return out
 

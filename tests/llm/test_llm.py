@@ -200,6 +200,17 @@ def test_html(spark):
     assert got[2] == ("", 0) and got[3] == ("", 0) and got[4] == ("cut &am", 7) and got[1][1] == len(got[1][0])
 
 
+def test_html_names_that_are_not_bad():
+    text = "<h2>Title</h2><p>Real text, with commas, and more of it.</p>"
+    want = "Title\nReal text, with commas, and more of it."
+    for a, b in (("<body class='single has-sidebar'>", "</body>"), ("<article class='post no-comments'>", "</article>"), ("<main class='with-header'>", "</main>"), ("<div class='page-with-sidebar content'>", "</div>"), ("<div class='wrap has-sidebar'>", "</div>"), ("<body class='search share'>", "</body>"), ("<div class='share-story'>", "</div>")):
+        assert html.extract(f"<html>{a}{text}{b}</html>") == want, a
+    links = "<div class='related post'><p><a href=x>Another story, and more</a></p></div>"
+    assert html.extract(f"<body><div class=content>{text}</div>{links}</body>") == want
+    beside = "<body><div class=wrap><h1>Head</h1><div class=content>" + "<p>Real text, with commas, and more of it.</p>" * 3 + "</div><p>The end.</p></div></body>"
+    assert html.extract(beside).split("\n") == ["Head", *["Real text, with commas, and more of it."] * 3, "The end."]
+
+
 def test_decontamination(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
