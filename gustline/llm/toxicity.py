@@ -3,10 +3,12 @@
 1. A character language model: 4-gram counts of the words of all documents,
    folded to 26 letters, interpolated with its lower orders. It is a table of
    27 ** 4 numbers whatever the corpus.
-2. A token that isn't plain letters, holds a letter three times in a row, or is
+2. A token that isn't plain letters or holds a letter three times in a row, and
    a run of single characters, becomes a lattice: each character as itself, as
-   the letters it may stand for, or as nothing (marks, repeats). Viterbi finds
-   the likeliest letters under channel and language model.
+   the letters it may stand for, or as nothing (marks, repeats), a space as
+   nothing or as the end of a word. Viterbi finds the likeliest letters under
+   channel and language model. Neighbouring words are joined
+   where the model finds the space less likely than none.
 3. Words of the restored text are scored by how much more often labelled toxic
    documents have them, at the lower end of the confidence interval.
 """
@@ -34,11 +36,15 @@ LEET = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ԁ": "d", "α": "a", "ο": "o", "ι": "i", "ν": "v", "τ": "t",
 }
 LEET_COST, DROP_MARK, DROP_LEET, DROP_REPEAT, ANY_COST = 0.7, 0.3, 4.0, 0.5, 2.5
+#: Of a space in a run of single characters (dropped, kept), and of one put into a word.
+DROP_SPACE, KEEP_SPACE, SPLIT_COST = 0.2, 1.5, 3.0
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _ENDS = ".,!?;:\"'()[]{}|*#%&$~-_<>"
 _PLAIN = re.compile(r"[a-z]+")
 _RUN = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<![^\s])(?:[^\s][ .\-_]){3,}[^\s](?![^\s])")
+#: Three or more single characters with spaces or marks between them; no part can match in two ways.
+_SPACED = re.compile(r"(?<![^\s(\[\"'])[^\s.\-_](?:[ \t\xa0.\-_]++[^\s.\-_](?![^\s.\-_,!?;:\"')\]])){2,}+")
+_GAP = re.compile(r"[ \t\xa0.\-_]+")
 _SUSPECT = re.compile(r"[^\W\d_]")
 _LONGEST = 24
 _FOLDS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d"})
@@ -116,13 +122,16 @@ class Decoder:
 
     def __init__(self, model: np.ndarray, beam: int = 48, keep: int = 200_000):
         self.p, self.beam, self.keep, self.seen = model.tolist(), beam, keep, {}
+        self.open: dict[str, bool] = {}
 
     def readings(self, token: str, i: int) -> list[tuple[str, float]]:
         c = token[i]
         out = []
+        if c == " ":
+            return [("", DROP_SPACE), (" ", KEEP_SPACE)]
         if "a" <= c <= "z":
             out.append((c, 0.0))
-            if i and token[i - 1] == c:
+            if i and (token[i - 1] == c or token[i - 2 : i] == c + " "):
                 out.append(("", DROP_REPEAT))
         else:
             out += [(x, LEET_COST) for x in LEET.get(c, "")]
@@ -141,7 +150,11 @@ class Decoder:
             choices = self.readings(token, i)
             for state, (cost, text) in paths.items():
                 for letter, extra in choices:
-                    if letter:
+                    if letter == " ":
+                        if not state:
+                            continue
+                        to, value, said = 0, cost + extra - self.p[state * SIZE], text + " "
+                    elif letter:
                         gram = state * SIZE + ord(letter) - 96
                         to, value, said = gram % modulus, cost + extra - self.p[gram], text + letter
                     else:
@@ -153,6 +166,59 @@ class Decoder:
             paths = new
         return min((cost - self.p[state * SIZE], text) for state, (cost, text) in paths.items())[1]
 
+    def _state(self, word: str) -> int:
+        state = 0
+        for c in word[-3:]:
+            state = state * SIZE + ord(c) - 96
+        return state
+
+    def _begin(self, state: int, word: str) -> float:
+        """What the first letters of a word cost after a state; later ones don't know of it."""
+        cost = 0.0
+        for k in [ord(c) - 96 for c in word[:3]] + [0] * (len(word) < 3):
+            gram = state * SIZE + k
+            cost -= self.p[gram]
+            state = gram % SIZE**3
+        return cost
+
+    def is_open(self, token: str) -> bool:
+        """Whether a plain word ends as few words do."""
+        got = self.open.get(token)
+        if got is None:
+            if len(self.open) > self.keep:
+                self.open.clear()
+            got = self.open[token] = bool(_PLAIN.fullmatch(token)) and -self.p[self._state(token) * SIZE] > SPLIT_COST
+        return got
+
+    def joined(self, tokens: list[str], distinct: set[str]) -> list[str]:
+        """Words that a space was put into: where it is less likely than none."""
+        out, known = [], self.open
+        starts = {t for t in distinct if (known[t] if t in known else self.is_open(t))}
+        for i in [i for i, t in enumerate(tokens) if t in starts]:
+            word = tokens[i]
+            for after in tokens[i + 1 : i + 8]:
+                after = after.rstrip(_ENDS)
+                state = self._state(word)
+                if not _PLAIN.fullmatch(after) or SPLIT_COST + self._begin(state, after) >= self._begin(0, after) - self.p[state * SIZE]:
+                    break
+                word += after
+                out.append(word)
+        return out
+
+    def spelt(self, run: str) -> list[str]:
+        """The words behind a run of single characters."""
+        got = self.seen.get(run)
+        if got is None:
+            chars = [fold(c) for c in _GAP.split(run)]
+            chars = [c for k, c in enumerate(chars) if chars[k - 3 : k] != [c] * 3]
+            got = " ".join(chars)
+            ok = _SUSPECT.search(got) and all(c in LEET or "a" <= c <= "z" or c in _ENDS or not c.isalnum() for c in got)
+            got = self.viterbi(got) if ok else "".join(chars)
+            if len(self.seen) > self.keep:
+                self.seen.clear()
+            self.seen[run] = got
+        return got.split()
+
     def restore(self, token: str) -> str:
         """A token as it is meant; plain words, and what holds no letters, stay as they are."""
         got = self.seen.get(token)
@@ -172,20 +238,20 @@ class Decoder:
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text."""
         text = text.lower()
-        tokens = set(text.split())
+        listed = text.split()
+        tokens = set(listed)
         seen = self.seen
         out = {seen.get(t) or self.restore(t) for t in tokens}
-        if sum(len(t) == 1 for t in tokens) < 3:  # a word spelt out has three different characters at least
-            out.discard("")
-            return out
-        for m in _SPACED.finditer(text):
-            out.add(self.restore("".join(x for x in fold(m.group()) if not x.isspace() and x not in ".-_")))
+        out.update(self.joined(listed, tokens))
+        if any(len(t) == 1 for t in tokens):  # runs without a space are tokens
+            for m in _SPACED.finditer(text):
+                out.update(self.spelt(m.group()))
         out.discard("")
         return out
 
     def restored(self, text: str) -> str:
-        """The text with its tokens restored, runs of single characters joined."""
-        text = _SPACED.sub(lambda m: re.sub(r"[\s.\-_]", "", m.group()), text.lower())
+        """The text with its tokens restored, runs of single characters decoded."""
+        text = _SPACED.sub(lambda m: " ".join(self.spelt(m.group())), text.lower())
         return " ".join(self.restore(t) for t in text.split())
 
 

@@ -4,7 +4,7 @@ import io
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -295,6 +295,21 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def toxic_decoder(**options):
+    words = Counter({w.encode(): 50 for w in "what a stupid man you are worthless idiot disgusting the river morning walked along quiet street under yellow light".split()})
+    counts = toxicity.gram_counts(words)
+    p = (counts.reshape(-1, 27) + 0.01) / (counts.reshape(-1, 27) + 0.01).sum(1, keepdims=True)
+    return toxicity.Decoder(np.log(p).astype(np.float32).ravel(), **options)
+
+
+def test_spaces_are_decoded():
+    d = toxic_decoder()
+    for text, want in {"what a s t u p i d man": "stupid", "y o u a r e s t u p i d": "stupid", "w o r t h l e s s i d i o t": "idiot", "s  t  u  p  i  d": "stupid", "a stu pid man": "stupid", "you i d i o t.": "idiot", "m a n": "man"}.items():
+        assert want in d.words(text), (text, d.words(text))
+    assert d.words("the quiet street") == {"the", "quiet", "street"}
+    assert d.words("- " * 3000 + ". " * 3000 + "a " * 3000)  # ends
+
+
 def test_quality_classifier(spark):
     r = random.Random(8)
     good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(80))
