@@ -7,7 +7,7 @@
    a run of single characters, becomes a lattice: each character as itself, as
    the letters it may stand for, or as nothing (marks, repeats), a space as
    nothing or as the end of a word. Viterbi finds the likeliest letters under
-   channel and language model. Neighbouring words are joined
+   channel and language model, whatever the length. Neighbouring words are joined
    where the model finds the space less likely than none.
 3. Words of the restored text are scored by how much more often labelled toxic
    documents have them, at the lower end of the confidence interval.
@@ -45,8 +45,8 @@ _RUN = re.compile(r"(.)\1\1")
 #: Three or more single characters with spaces or marks between them; no part can match in two ways.
 _SPACED = re.compile(r"(?<![^\s(\[\"'])[^\s.\-_](?:[ \t\xa0.\-_]++[^\s.\-_](?![^\s.\-_,!?;:\"')\]])){2,}+")
 _GAP = re.compile(r"[ \t\xa0.\-_]+")
+_LONG_RUN = re.compile(r"(.)\1{3,}")
 _SUSPECT = re.compile(r"[^\W\d_]")
-_LONGEST = 24
 _FOLDS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d"})
 
 
@@ -122,6 +122,7 @@ class Decoder:
 
     def __init__(self, model: np.ndarray, beam: int = 48, keep: int = 200_000):
         self.p, self.beam, self.keep, self.seen = model.tolist(), beam, keep, {}
+        self.table = np.asarray(model, np.float64).reshape(SIZE, SIZE * SIZE, SIZE)
         self.open: dict[str, bool] = {}
 
     def readings(self, token: str, i: int) -> list[tuple[str, float]]:
@@ -142,7 +143,7 @@ class Decoder:
         return out
 
     def viterbi(self, token: str) -> str:
-        """The likeliest letters behind a folded token: paths are told apart by their last three letters."""
+        """The likeliest letters behind a folded token: paths are told apart by their last three letters, none is pruned."""
         paths = {0: (0.0, "")}  # the three letters before, as a number of base SIZE
         modulus = SIZE**3
         for i in range(len(token)):
@@ -162,10 +163,57 @@ class Decoder:
                     if to not in new or value < new[to][0]:
                         new[to] = (value, said)
             if len(new) > self.beam:
-                new = dict(sorted(new.items(), key=lambda x: x[1][0])[: self.beam])
+                return self.viterbi_by_table(token)
             paths = new
         return min((cost - self.p[state * SIZE], text) for state, (cost, text) in paths.items())[1]
 
+    def _step(self, cost: np.ndarray, choices: list[tuple[str, float]]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Costs of all states one character on; the letter that each leaves behind (SIZE: dropped, SIZE + 1: a word ended); the state of that word."""
+        new, via, ended = np.full((SIZE * SIZE, SIZE), np.inf), np.zeros((SIZE * SIZE, SIZE), np.uint8), 0
+        square, flat_new, flat_via = cost.reshape(SIZE, -1), new.ravel(), via.ravel()
+        for letter, extra in choices:
+            if letter == " ":
+                word = cost + extra - self.table[:, :, 0].ravel()
+                word[0] = np.inf
+                ended = int(word.argmin())
+                if word[ended] < flat_new[0]:
+                    flat_new[0], flat_via[0] = word[ended], SIZE + 1
+            elif letter:
+                k = ord(letter) - 96
+                value = square + extra - self.table[:, :, k]
+                best, value = value.argmin(0), value.min(0)
+                less = value < new[:, k]
+                new[less, k], via[less, k] = value[less], best[less]
+            else:
+                less = cost + extra < flat_new
+                flat_new[less], flat_via[less] = (cost + extra)[less], SIZE
+        return flat_new, flat_via, ended
+
+    def viterbi_by_table(self, token: str, piece: int = 128) -> str:
+        """viterbi() over all SIZE ** 3 states at once; the way back is kept for ``piece`` characters at a time."""
+        cost = np.full(SIZE**3, np.inf)
+        cost[0] = 0.0
+        starts = []
+        for i in range(len(token)):
+            if i % piece == 0:
+                starts.append(cost)
+            cost = self._step(cost, self.readings(token, i))[0]
+        state, out = int((cost - self.table[:, :, 0].ravel()).argmin()), []
+        for n in range(len(starts) - 1, -1, -1):
+            ways, cost = [], starts[n]
+            for i in range(n * piece, min(len(token), (n + 1) * piece)):
+                cost, via, ended = self._step(cost, self.readings(token, i))
+                ways.append((via, ended))
+            for via, ended in reversed(ways):
+                k = int(via[state])
+                if k == SIZE + 1:
+                    out.append(" ")
+                    state = ended
+                elif k < SIZE:
+                    out.append(chr(96 + state % SIZE))
+                    state = k * SIZE * SIZE + state // SIZE
+        return "".join(reversed(out))
+
     def _state(self, word: str) -> int:
         state = 0
         for c in word[-3:]:
@@ -226,8 +274,9 @@ class Decoder:
             word = fold(token)
             core = word.rstrip(_ENDS) if len(word) - len(word.rstrip(_ENDS)) > 1 or word[-1:] in ".,!?;:" else word
             core = core.lstrip(_ENDS) if len(core) - len(core.lstrip(_ENDS)) > 1 or core[:1] in "\"'([{" else core
+            core = _LONG_RUN.sub(r"\1\1\1", core)
             got = core
-            if core and len(core) <= _LONGEST and _SUSPECT.search(core) and (not _PLAIN.fullmatch(core) or _RUN.search(core)):
+            if core and _SUSPECT.search(core) and (not _PLAIN.fullmatch(core) or _RUN.search(core)):
                 if all(c in LEET or "a" <= c <= "z" or c in _ENDS or not c.isalnum() for c in core):
                     got = self.viterbi(core) or core
             if len(self.seen) > self.keep:

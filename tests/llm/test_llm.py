@@ -310,6 +310,15 @@ def test_spaces_are_decoded():
     assert d.words("- " * 3000 + ". " * 3000 + "a " * 3000)  # ends
 
 
+def test_long_tokens_are_decoded():
+    d = toxic_decoder()
+    assert d.restore("d--i--s--g--u--s--t--i--n--g") == "disgusting" and d.restore("stuuuuuuuuuuuuuuuuuuuuuuuupid") == "stupid"
+    assert d.restore("w-o-r-t-h-l-e-s-s-" * 3) and d.restore("st*p*d") == "stupid"
+    for token in ("st*p*d", "d1sgu$t1ng", "w#rt*l*ss", "i d i o t a r e"):
+        exact = toxic_decoder(beam=10**9).viterbi(token)
+        assert d.viterbi_by_table(token) == d.viterbi_by_table(token, 3) == exact == d.viterbi(token)
+
+
 def test_quality_classifier(spark):
     r = random.Random(8)
     good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(80))
