@@ -5,30 +5,53 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder used where the session names no ``spark.checkpoint.dir`` (tests, laptops), by application.
+#: By application: the folder used where the session names no ``spark.checkpoint.dir``, and whether the package was sent to workers.
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    """The folder that driver and executors share, with its scheme: ``spark.checkpoint.dir``; where it is unset, a temporary one if all runs on this machine, else an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    app = sc.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="gustline-")
+        if named:
+            path = sc._jvm.org.apache.hadoop.fs.Path(named.rstrip("/"))
+            fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+            _own_dirs[app] = fs.makeQualified(path).toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")
+        elif sc.master.startswith("local"):
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="gustline-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return _own_dirs[app]
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/gustline/{tag}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, tag: str, keep: bool = True) -> str:
+    """A path in the shared folder that nothing has yet; keep: False removes it when the application ends."""
+    path = f"{shared_dir(spark)}/gustline/{tag}-{uuid.uuid4().hex}"
+    if not keep:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        _marked(there.getFileSystem(conf), there)
+    return path
+
+
+def _marked(fs, path) -> None:
+    fs.mkdirs(path.getParent())
+    fs.mkdirs(path)  # deleteOnExit takes only what is there
+    fs.deleteOnExit(path)
+    fs.delete(path, True)
 
 
 @contextmanager
@@ -45,22 +68,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     The table outlives any executor, cuts the lineage, and lets Spark drop the
-    shuffle files of the query that made it as soon as that query has ended.
+    shuffle files of the query that made it as soon as that query has ended. It
+    goes when the application ends.
     """
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = new_path(spark, tag, keep=False)
     with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver found it outside PYTHONPATH."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    have = [*env.get("PYTHONPATH", "").split(":"), *os.environ.get("PYTHONPATH", "").split(":")]
-    if root not in have:
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    """Send this package to the Python workers, once for each application, as an archive that Spark hands to every executor."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(package):  # else the driver itself reads it from an archive, which then is on the workers' path too
+        target = os.path.join(tempfile.mkdtemp(prefix="gustline-"), "gustline.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(package):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(package)))
+        sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,9 +124,22 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     return id_and_text(docs).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label")
 
 
-def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of each Arrow batch with the columns of ``id_and_text``."""
+def in_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose strings of one column take ``most`` bytes together, or of one row: what a kernel makes of them is bounded by this or by one text."""
     for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+        if not b.num_rows:
+            yield b
+
+
+def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of slices of Arrow batches with the columns of ``id_and_text``."""
+    for b in in_bytes(batches, 1):
         yield b.column(0).to_pylist(), b.column(1).to_pylist()
 
 
