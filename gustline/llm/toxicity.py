@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,54 +43,60 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _ENDS = ".,!?;:\"'()[]{}|*#%&$~-_<>"
 _PLAIN = re.compile(r"[a-z]+")
 _RUN = re.compile(r"(.)\1\1")
+_LETTER_RUN = re.compile(r"([a-z])\1\1")
+_STOPS = frozenset(".,!?;:")
+#: Tokens of plain letters, marks around them left out.
+_PLAIN_TOKENS = re.compile(r"(?<!\S)[" + re.escape(".,!?;:\"'()[]{}|*#%&$~-_<>") + r"]*+([a-z]+)[" + re.escape(".,!?;:\"'()[]{}|*#%&$~-_<>") + r"]*+(?!\S)")
 #: Three or more single characters with spaces or marks between them; no part can match in two ways.
 _SPACED = re.compile(r"(?<![^\s(\[\"'])[^\s.\-_](?:[ \t\xa0.\-_]++[^\s.\-_](?![^\s.\-_,!?;:\"')\]])){2,}+")
 _GAP = re.compile(r"[ \t\xa0.\-_]+")
 _LONG_RUN = re.compile(r"(.)\1{3,}")
 _SUSPECT = re.compile(r"[^\W\d_]")
-_FOLDS = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d"})
+#: Marks that combine with the letter before (fixed values: Unicode's blocks of them).
+_COMBINING = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
+_FOLDS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d"}
 
 
 def fold(word: str) -> str:
     """Lower case without accents."""
     if word.isascii():
         return word.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", word.lower().translate(_FOLDS)) if not unicodedata.combining(c))
+    out = word.lower()
+    for c, letters in _FOLDS.items():
+        out = out.replace(c, letters)
+    out = unicodedata.normalize("NFKD", out)
+    return out if out.isascii() else _COMBINING.sub("", out)
 
 
 # --- language model ---------------------------------------------------------
 
 
-def gram_counts(words: Counter) -> np.ndarray:
-    """Counts of the 4-grams of folded words, three boundaries before and one after each."""
-    lut = np.zeros(256, np.int64)
-    lut[97:123] = np.arange(1, 27)
-    kept, counts = [], []
-    for w, n in words.items():
-        f = fold(w.decode("utf-8", "replace")).strip(_ENDS)
-        if _PLAIN.fullmatch(f):
-            kept.append(f)
-            counts.append(n)
+_LETTER_CODES = np.zeros(256, np.int64)
+_LETTER_CODES[97:123] = np.arange(1, 27)
+
+
+def gram_counts(texts: list[str]) -> np.ndarray:
+    """Counts of the 4-grams of the texts' folded words of plain letters, three boundaries before and one after each."""
     out = np.zeros(SIZE**ORDER)
-    if kept:
-        codes = lut[np.frombuffer(("   " + "    ".join(kept) + " ").encode(), np.uint8)]
+    words = [w for t in texts for w in _PLAIN_TOKENS.findall(fold(t))]
+    if words:
+        codes = _LETTER_CODES[np.frombuffer(("   " + "    ".join(words) + " ").encode(), np.uint8)]
         gram = ((codes[:-3] * SIZE + codes[1:-2]) * SIZE + codes[2:-1]) * SIZE + codes[3:]
-        lens = np.array([len(k) for k in kept])
-        weights = np.repeat(np.array(counts, float), lens + 4)[: len(gram)]
-        weights = weights * ((codes[3:] > 0) | (codes[2:-1] > 0))  # letters, and the boundary just after one
-        out += np.bincount(gram, weights, SIZE**ORDER)
+        gram = gram[(codes[3:] > 0) | (codes[2:-1] > 0)]  # letters, and the boundary just after one
+        out += np.bincount(gram, minlength=SIZE**ORDER)
     return out
 
 
 def _count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, total = Counter(), np.zeros(SIZE**ORDER)
+    total, some, size = np.zeros(SIZE**ORDER), [], 0
     for _, texts in by_text(batches):
         for t in texts:
-            words.update(t.encode("utf-8", "surrogatepass").split())
-        if len(words) > 300_000:
-            total += gram_counts(words)
-            words.clear()
-    total += gram_counts(words)
+            some.append(t)
+            size += len(t)
+            if size > 2_000_000:
+                total += gram_counts(some)
+                some, size = [], 0
+    total += gram_counts(some)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64), pa.int64())], names=["gram", "n"])
 
@@ -123,7 +130,9 @@ class Decoder:
     def __init__(self, model: np.ndarray, beam: int = 48, keep: int = 200_000):
         self.p, self.beam, self.keep, self.seen = model.tolist(), beam, keep, {}
         self.table = np.asarray(model, np.float64).reshape(SIZE, SIZE * SIZE, SIZE)
-        self.open: dict[str, bool] = {}
+        end = -np.asarray(model, np.float64).reshape(SIZE**3, SIZE)[:, 0]
+        #: The last three letters (all of a shorter word) after which few words end.
+        self.open = {w for state in np.flatnonzero(end > SPLIT_COST).tolist() if (w := self._ending(state))}
 
     def readings(self, token: str, i: int) -> list[tuple[str, float]]:
         c = token[i]
@@ -214,6 +223,13 @@ class Decoder:
                     state = k * SIZE * SIZE + state // SIZE
         return "".join(reversed(out))
 
+    @staticmethod
+    def _ending(state: int) -> str:
+        """The letters of a state, "" if a boundary stands after a letter in it."""
+        codes = [state // SIZE**2, state // SIZE % SIZE, state % SIZE]
+        letters = "".join(chr(96 + c) for c in codes if c)
+        return letters if all(codes[3 - len(letters) :]) else ""
+
     def _state(self, word: str) -> int:
         state = 0
         for c in word[-3:]:
@@ -231,18 +247,14 @@ class Decoder:
 
     def is_open(self, token: str) -> bool:
         """Whether a plain word ends as few words do."""
-        got = self.open.get(token)
-        if got is None:
-            if len(self.open) > self.keep:
-                self.open.clear()
-            got = self.open[token] = bool(_PLAIN.fullmatch(token)) and -self.p[self._state(token) * SIZE] > SPLIT_COST
-        return got
+        return token[-3:] in self.open and token.isascii() and token.isalpha()
 
-    def joined(self, tokens: list[str], distinct: set[str]) -> list[str]:
+    def joined(self, tokens: list[str]) -> list[str]:
         """Words that a space was put into: where it is less likely than none."""
-        out, known = [], self.open
-        starts = {t for t in distinct if (known[t] if t in known else self.is_open(t))}
-        for i in [i for i, t in enumerate(tokens) if t in starts]:
+        out, ends = [], self.open
+        for i in [i for i, t in enumerate(tokens) if t[-3:] in ends]:
+            if not self.is_open(tokens[i]):
+                continue
             word = tokens[i]
             for after in tokens[i + 1 : i + 8]:
                 after = after.rstrip(_ENDS)
@@ -288,13 +300,28 @@ class Decoder:
         """The distinct words of the restored text."""
         text = text.lower()
         listed = text.split()
-        tokens = set(listed)
-        seen = self.seen
-        out = {seen.get(t) or self.restore(t) for t in tokens}
-        out.update(self.joined(listed, tokens))
-        if any(len(t) == 1 for t in tokens):  # runs without a space are tokens
-            for m in _SPACED.finditer(text):
-                out.update(self.spelt(m.group()))
+        tokens, seen = set(listed), self.seen
+        runs = _LETTER_RUN.search(text) is not None
+        out, foreign, other = set(), [], []
+        for t in tokens:  # plain letters with at most a stop after them stand for themselves
+            core = t[:-1] if t[-1] in _STOPS else t
+            if core.isalpha() and not runs:
+                if core.isascii():
+                    out.add(core)
+                else:
+                    foreign.append(core)
+            else:
+                other.append(t)
+        if foreign:
+            for core, word in zip(foreign, fold("\n".join(foreign)).split("\n"), strict=True):
+                if word.isascii() and word.isalpha() and not _RUN.search(word):
+                    out.add(word)
+                else:
+                    other.append(core)
+        out.update([seen.get(t) or self.restore(t) for t in other])
+        out.update(self.joined(listed))
+        for m in _SPACED.finditer(text):
+            out.update(self.spelt(m.group()))
         out.discard("")
         return out
 
@@ -318,20 +345,17 @@ def stems(word: str) -> list[str]:
 class Lexicon:
     """Words and stems with the log odds that they add."""
 
-    def __init__(self, weights: dict[str, float], keep: int = 500_000):
-        self.weights, self.keep, self.seen = weights, keep, {}
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.begins = {w.lstrip("^")[:4] for w in weights}  # of every word that has a weight
 
     def weight(self, word: str) -> float:
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) > self.keep:
-                self.seen.clear()
-            got = self.seen[word] = max(self.weights.get(x, 0.0) for x in stems(word))
-        return got
+        return max(self.weights.get(x, 0.0) for x in stems(word))
 
     def evidence(self, words: set[str]) -> list[float]:
         """What a document's words say: the four largest weights, the sum of the next ones as a logarithm, and how many words there are, 50 at least."""
-        top = sorted((x for w in words if (x := self.weight(w))), reverse=True)
+        begins = self.begins
+        top = sorted((x for w in words if w[:4] in begins and (x := self.weight(w))), reverse=True)
         return [*(top + [0.0] * 4)[:4], math.log1p(sum(top[4:])), math.log(max(len(words), 50))]
 
 
@@ -348,17 +372,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-_decoders: dict[int, Decoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def _decoder(shared) -> Decoder:
-    key = id(shared.value)
+    """The worker's decoder for this model, told apart from others by a hash of its numbers."""
+    key, model = shared.value
     if key not in _decoders:
         _decoders.clear()
-        _decoders[key] = Decoder(shared.value)
+        _decoders[key] = Decoder(model)
     return _decoders[key]
 
 
+def _shared_model(sc, model: np.ndarray):
+    return sc.broadcast((xxhash.xxh3_128_hexdigest(model.tobytes()), model))
+
+
 def _df_kernel(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, counts = _decoder(shared), {}
@@ -383,11 +412,12 @@ def _evidence_kernel(shared, lexicons):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, shared, most: int = 20_000, words: int = 20_000) -> tuple[Lexicon, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, shared, most: int = 20_000) -> tuple[Lexicon, np.ndarray]:
     """A lexicon and the logistic regression on its evidence, from at most ``most`` labelled documents that aren't held out.
 
     A word's weight is the log ratio of its document frequencies less 1.64
-    standard errors; the ``words`` largest over 0.5 are kept. The regression
+    standard errors; those over 0.5 are kept, all of them: words of the ``most``
+    documents only, two toxic ones at least. The regression
     learns from evidence under the lexicon of the other half of the documents,
     so that it doesn't trust words that only the training rows have. Without
     labels of both kinds every document scores the same.
@@ -401,7 +431,7 @@ def train(docs: DataFrame, labels: DataFrame, shared, most: int = 20_000, words:
         pos, neg = (sum(total.get((f, y), 0) for f in folds) for y in (1, 0))
         a, b = F.coalesce(f"toxic{i}", F.lit(0)) + 0.5, F.coalesce(f"clean{i}", F.lit(0)) + 0.5
         weight = F.log(a / b) - math.log((pos + 0.5) / (neg + 0.5)) - 1.64 * F.sqrt(1 / a + 1 / b)
-        top = df.where(F.col(f"toxic{i}") >= 2).withColumn("w", weight).where("w > 0.5").orderBy(F.desc("w"), "word").limit(words).collect()
+        top = df.where(F.col(f"toxic{i}") >= 2).withColumn("w", weight).where("w > 0.5").select("word", "w").collect()
         lexicons.append(Lexicon({r["word"]: r["w"] for r in top}))
     halves = docs.sparkSession.sparkContext.broadcast(lexicons[:2])
     seen = rows.mapInArrow(_evidence_kernel(shared, halves), "half int, label int, x array<double>").toPandas()
@@ -423,12 +453,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: i
 
     Null and empty texts score as texts without any telling word; rows with the
     same doc_id are scored each on their own; other columns are left out; an
-    empty table gives no rows. Broadcast: the language model (2 MB), and a
-    lexicon of at most 20,000 words.
+    empty table gives no rows. Broadcast: the language model (2 MB), and the
+    lexicon, whose words are in two or more of the ``most`` labelled documents.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(language_model(docs))
-    lexicon = sc.broadcast(train(docs, labels, shared, most))  # at most 20,000 words and 7 numbers
+    shared = _shared_model(sc, language_model(docs))
+    lexicon = sc.broadcast(train(docs, labels, shared, most))  # telling words of at most ``most`` documents, and 7 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, (words, w) = _decoder(shared), lexicon.value
