@@ -4,7 +4,10 @@ Trusted positives (label 1, not held out) and unlabelled web text fit a small
 network under the non-negative risk estimator (Kiryo et al., 2017):
 prior * E_P[loss(g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)]), with
 logistic loss, so the sigmoid of the output estimates the chance of label 1.
-Labels of 0 are never fitted; they only enter the estimate of the class prior.
+The class prior is estimated from positives and unlabelled texts alone, by the
+best bin of Garg et al. (2021): where a ranking of one against the other puts
+the purest top, the share of all unlabelled texts there over the share of all
+positives there. Labels of 0 are never read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gustline.llm.common import by_text, held_out, id_and_text, labelled
+from gustline.llm.common import by_text, held_out, id_and_text, in_bytes, labelled, ship_package
 from gustline.llm.quality_rules import measure
 
 N_FEATURES = 16
@@ -101,6 +104,36 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: i
     return model
 
 
+def _rank_weights(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """A logistic ranking of positives against unlabelled rows, the constant last."""
+    x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - w)
+    return w
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, slack: float = 0.01, risk: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows; each half is ranked by what the other half taught."""
+    both = np.concatenate([positive, unlabelled])
+    mean, spread = both.mean(0), np.maximum(both.std(0), 1e-3)
+    p, u = (np.clip((x - mean) / spread, -6, 6) for x in (positive, unlabelled))
+    if min(len(p), len(u)) < 4:
+        return 0.5
+    found = []
+    for i in (0, 1):
+        x = np.concatenate([p[i::2], u[i::2]])
+        w = _rank_weights(x, np.r_[np.ones(len(p[i::2])), np.zeros(len(u[i::2]))])
+        sp, su = (np.sort(z[1 - i :: 2] @ w[:-1]) for z in (p, u))
+        cuts = np.unique(np.concatenate([sp, su]))
+        qp, qu = (1 - np.searchsorted(z, cuts, "left") / len(z) for z in (sp, su))
+        cuts, qp, qu = cuts[qp > 0], qp[qp > 0], qu[qp > 0]
+        unsure = sum(math.sqrt(math.log(4 / risk) / (2 * len(z))) for z in (sp, su))
+        best = int(np.argmin((qu + (1 + slack) * unsure) / qp))
+        found.append(qu[best] / qp[best])
+    return float(np.clip(np.mean(found), 0.01, 0.99))
+
+
 def _feature_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t) for t in b.column(1).to_pylist()]
@@ -108,11 +141,11 @@ def _feature_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
-    """Fit on at most ``most`` labelled documents and as many unlabelled ones, both by smallest hash of doc_id.
+    """Fit on at most ``most`` trusted positives and as many unlabelled documents, both by smallest hash of doc_id.
 
     With no trusted positive at all the model knows nothing and scores every text 0.5.
     """
-    known = labelled(docs, labels, "quality", most).select("doc_id", "text", "label")
+    known = labelled(docs, labels.where(F.col("quality") == 1), "quality", most).select("doc_id", "text", "label")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(most)
     some = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.lit(-1).alias("label"))
     rows = known.union(some).mapInArrow(_feature_kernel, "label int, x array<double>").toPandas()
@@ -124,17 +157,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
     order = np.lexsort(positive.T)
     positive = positive[order]  # whatever order the rows came in
     unlabelled = unlabelled[np.lexsort(unlabelled.T)]
-    seen = (y == 1).sum() / max(1, (y >= 0).sum())
-    return fit_pu(positive, unlabelled, prior=float(np.clip(seen, 0.05, 0.95)))
+    return fit_pu(positive, unlabelled, prior=estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; keep: the columns of docs, score and predicted.
+    """doc_id, held_out, score and predicted of every document; keep: the columns of docs, __score and __predicted.
 
     Null and empty texts get the score of a text without words; rows with the
     same doc_id are scored each on their own; an empty table gives no rows.
-    keep needs columns of other names than score and predicted. The model's few
-    hundred numbers go with the tasks.
+    The model's few hundred numbers go with the tasks.
     """
 
     def chances(texts: list) -> pa.Array:
@@ -142,14 +173,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: bool = Fa
         return pa.array(model.score(x), pa.float64())
 
     if keep:
+        ship_package(docs.sparkSession)
         at = docs.columns.index("text")
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns, chances(b.column(at).to_pylist())], names=[*b.schema.names, "score"])
+            for b in in_bytes(batches, at):
+                yield pa.RecordBatch.from_arrays([*b.columns, chances(b.column(at).to_pylist())], names=[*b.schema.names, "__score"])
 
-        schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-        return docs.mapInArrow(whole, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow takes no names with dots
+        schema = StructType([*plain.schema.fields, StructField("__score", DoubleType())])
+        return plain.mapInArrow(whole, schema).toDF(*docs.columns, "__score").withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in by_text(batches):
@@ -160,5 +193,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: bool = Fa
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 12_000) -> DataFrame:
-    """Train on the labels that aren't held out and score every document."""
+    """Train on the trusted positives that aren't held out and score every document."""
     return score(docs, train(docs, labels, most), threshold)
