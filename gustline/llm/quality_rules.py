@@ -134,7 +134,7 @@ def judge(docs: DataFrame, spread: float = 3.0, least: int = 50, min_words: int
     else:
         salted = limit.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int")).join(salted, ["lang", "source", "salt"], "left").drop("salt")
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > int(max_repeat * 100) * F.col("n_words"))
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > round(max_repeat * 100) * F.col("n_words"))
     over = [F.coalesce(F.col(a) / F.when(F.col(b) > 0, F.col(b)) > F.col(f"fence_{k}"), F.lit(False)) for k, (a, b, _) in MEASURES.items()]
     broken = over[0]
     for x in over[1:]:
