@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import ship_package
+from gustline.llm.common import in_bytes, ship_package
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: A quote has a meaning only after "=", and only if another closes it.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -37,30 +39,27 @@ ROOTS = frozenset("html body article main".split())
 _ABOUT = re.compile(r"(?<![A-Za-z])(?:has|have|with|without|no|not)[-_]+[A-Za-z]+", re.I)
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
-#: Elements nested deeper than this stay empty, and what they hold goes to the one above: no page can exhaust the stack.
-DEEPEST = 200
 _WORD = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "good", "doubtful", "points", "chars", "link_chars", "depth")
+    __slots__ = ("tag", "parent", "children", "bad", "good", "doubtful", "points", "chars", "link_chars", "length", "commas")
 
     def __init__(self, tag: str, parent: "Node | None", names: str = "", hidden: bool = False):
         self.tag, self.parent, self.children = tag, parent, []
-        self.depth = parent.depth + 1 if parent else 0
         words = {w.lower() for w in _WORD.findall(_ABOUT.sub(" ", names))} if names else ()
         self.good = bool(words) and not GOOD_WORDS.isdisjoint(words) or tag in ("article", "main")
         named = bool(words) and not BAD_WORDS.isdisjoint(words)
         self.doubtful = named and self.good and tag not in ROOTS  # its share of links decides
         self.bad = hidden or tag in NEVER or named and not self.good and tag not in ROOTS or tag == "header" and (parent is None or parent.tag in ("body", "html", "root"))
         self.points = 0.0
-        self.chars = self.link_chars = 0
+        self.chars = self.link_chars = self.length = self.commas = 0
 
 
 def parse(page: str) -> Node:
     """A tree of nodes and strings; ends that the markup leaves out are put in, unknown ends ignored."""
     root = node = Node("root", None)
-    at, n = 0, len(page)
+    at, n, open_ = 0, len(page), Counter()
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
@@ -73,10 +72,11 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = _close(node, tag)
+            if open_[tag]:
+                node = _left(node, _close(node, tag), open_)
             continue
         if tag in CLOSES_P:
-            node = _close_p(node, tag)
+            node = _left(node, _close_p(node, tag), open_)
         names, hidden = "", False
         if m[3]:
             for a in _ATTRIBUTE.finditer(m[3]):
@@ -94,11 +94,20 @@ def parse(page: str) -> Node:
                 at = close + 1
             elif end:
                 at = n
-        elif tag not in VOID and not m[3].endswith("/") and child.depth < DEEPEST:
+        elif tag not in VOID and not m[3].endswith("/"):
             node = child
+            open_[tag] += 1
     return root
 
 
+def _left(node: Node, to: Node, open_: Counter) -> Node:
+    """``to``; the elements up to it are open no longer."""
+    while node is not to:
+        open_[node.tag] -= 1
+        node = node.parent
+    return to
+
+
 def _close(node: Node, tag: str) -> Node:
     up = node
     while up.parent is not None:
@@ -125,19 +134,6 @@ def _close_p(node: Node, tag: str) -> Node:
     return node
 
 
-def _text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "" if c.bad else _text(c) for c in node.children)
-
-
-def _is_out(node: Node | None) -> bool:
-    """Whether the node, or one above it, turned out bad."""
-    while node is not None:
-        if node.bad:
-            return True
-        node = node.parent
-    return False
-
-
 def score(root: Node) -> Node | None:
     """Pass the points on and choose the best container, None if no paragraph has any text."""
     containers: dict[int, Node] = {}
@@ -154,23 +150,30 @@ def score(root: Node) -> Node | None:
                     k = len(c.strip())
                     node.chars += k
                     node.link_chars += k if in_link else 0
+                    node.length += len(c)
+                    node.commas += c.count(",")
                 elif not c.bad:
                     node.chars += c.chars
                     node.link_chars += c.link_chars
+                    node.length += c.length
+                    node.commas += c.commas
             if node.doubtful and 2 * node.link_chars > node.chars:
                 node.bad = True
             order.append(node)
             continue
         stack.append((node, in_link, True))
         stack += [(c, in_link, False) for c in node.children if not isinstance(c, str)]
+    out: set[int] = set()  # what turned out bad, and what is in it
+    for node in reversed(order):  # parents first
+        if node.bad or node.parent is not None and id(node.parent) in out:
+            out.add(id(node))
     for node in order:
-        if _is_out(node):
+        if id(node) in out:
             continue
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         if not node.chars or node.tag not in PARAGRAPH and (node.tag in INLINE or not own):
             continue
-        text = _text(node)
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - node.link_chars / node.chars)
+        points = (1 + node.commas + min(node.length / 100, 3)) * (1 - node.link_chars / node.chars)
         up, weight = (node if node.tag not in PARAGRAPH else node.parent), 1.0
         while up is not None and weight > 0.1:
             if up.tag not in INLINE and up.tag not in PARAGRAPH:
@@ -206,19 +209,23 @@ def _chosen(best: Node) -> list[Node]:
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:
-    """Append the runs of text under the node; a block element starts a new one on either side."""
-    for c in node.children:
-        if isinstance(c, str):
+    """Append the runs of text under the node; a block element starts a new one on either side. However deep, no recursion."""
+    stack: list[Node | str | None] = list(reversed(node.children))
+    while stack:
+        c = stack.pop()
+        if c is None:
+            out.append([])
+        elif isinstance(c, str):
             out[-1].append(c)
         elif not c.bad:
             if c.tag == "br":
                 out[-1].append(" ")
             elif c.tag in INLINE:
-                _blocks(c, out)
+                stack += reversed(c.children)
             else:
                 out.append([])
-                _blocks(c, out)
-                out.append([])
+                stack.append(None)
+                stack += reversed(c.children)
 
 
 def extract(page: str) -> str:
@@ -235,7 +242,7 @@ def extract(page: str) -> str:
 
 
 def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in in_bytes(batches, 2):
         got = [extract(x) for x in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
