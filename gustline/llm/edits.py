@@ -1,9 +1,11 @@
 """Edit-aware token counts: a segment tree of pre-token runs for each document.
 
-A leaf of the tree is a run of chunks (see ``tokens``), whose token count
-doesn't depend on the leaves around it; inner nodes hold sums of code points
-and tokens. An edit re-encodes the leaves it touches, with a neighbour where it
-reaches a leaf's edge, and then updates the sums above them.
+A leaf of the tree is a run of chunks (see ``tokens``), or of pre-tokens where a
+chunk is long; its token count doesn't depend on the leaves around it. Inner
+nodes hold sums of code points and tokens. An edit re-encodes the leaves it
+touches, with a neighbour where it comes near a leaf's edge, puts what becomes
+of them in their place and then updates the sums above. What is re-encoded
+depends on the edit and on the length of a leaf, not on that of the text.
 """
 
 from __future__ import annotations
@@ -11,21 +13,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import ship_package
+from gustline.llm.common import in_bytes, ship_package
 from gustline.llm.tokens import _CUT, Coder
 
+#: Code points over which a leaf is cut at pre-tokens too, and the context that decides whether a cut stays one.
+LONG, NEAR = 1024, 4
+#: The pre-tokens of a byte-level vocabulary (a fixed value).
+_PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
 
 def leaves_of(text: str, run: int) -> list[str]:
-    """The text in runs of chunks; all runs but the first begin with a space that starts a pre-token."""
+    """The text in runs of chunks, each but the first beginning with a space that starts a pre-token; long ones in runs of pre-tokens."""
     chunks = _CUT.split(text)
-    return [(" " if i else "") + " ".join(chunks[i : i + run]) for i in range(0, len(chunks), run)]
+    out = []
+    for i in range(0, len(chunks), run):
+        leaf = (" " if i else "") + " ".join(chunks[i : i + run])
+        out += [leaf] if len(leaf) <= LONG else _by_pre_token(leaf)
+    return out
+
+
+def _by_pre_token(text: str) -> list[str]:
+    """The text in pieces of about half of ``LONG`` code points, cut where a pre-token ends in something other than white space: encoded alone they give the same ids. A single pre-token is never cut."""
+    out, start = [], 0
+    for m in _PRE_TOKEN.finditer(text):
+        end = m.end()
+        if end - start >= LONG // 2 and end < len(text) and not text[end - 1].isspace():
+            out.append(text[start:end])
+            start = end
+    return [*out, text[start:]]
 
 
 class CountTree:
-    """Token counts of one text under edits."""
+    """Token counts of one text under edits; ``reencoded`` counts the code points that edits made it encode."""
 
     def __init__(self, leaves: list[str], tokens: list[int], coder: Coder, run: int = 64):
         self.coder, self.run, self.reencoded = coder, run, 0
@@ -39,6 +62,7 @@ class CountTree:
         return [cls(each, [next(counts) for _ in each], coder, run) for each in leaves]
 
     def _build(self, leaves: list[str], tokens: list[int]) -> None:
+        """All sums anew, from counts that are known."""
         self.leaves = leaves
         self.size = 1 << max(0, len(leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
@@ -84,25 +108,25 @@ class CountTree:
         remove = max(0, min(remove, self.n_chars - at))
         low, within = self._find(at)
         start = at - within
-        if within <= 1:  # the cut before this leaf may move: take in the leaf before
-            while low and (within <= 1 or not self.leaves[low]):
-                low -= 1
-                start -= len(self.leaves[low])
-                within += len(self.leaves[low])
+        while low and (within < NEAR or not self.leaves[low]):  # the cut before this leaf may move: take in the leaf before
+            low -= 1
+            start -= len(self.leaves[low])
+            within += len(self.leaves[low])
         high, end_in = self._find(at + remove)
-        while high < len(self.leaves) - 1 and end_in >= len(self.leaves[high]) - 1:
+        while high < len(self.leaves) - 1 and end_in > len(self.leaves[high]) - NEAR:
             end_in -= len(self.leaves[high])
             high += 1
         old = "".join(self.leaves[low : high + 1])
-        new = old[: at - start] + insert + old[at - start + remove :]
-        self.reencoded += len(new)
-        if len(new) > 40 * self.run * 8:  # a long insert: give it leaves of its own
-            leaves = leaves_of("".join([*self.leaves[:low], new, *self.leaves[high + 1 :]]), self.run)
-            self._build(leaves, [len(x) // 4 for x in self.coder.encode(leaves)])
-            return
-        for i in range(low + 1, high + 1):
-            self._set(i, "", 0)
-        self._set(low, new, len(self.coder.encode([new])[0]) // 4)
+        new = leaves_of(old[: at - start] + insert + old[at - start + remove :], self.run)
+        self.reencoded += sum(map(len, new))
+        counts = [len(x) // 4 for x in self.coder.encode(new)]
+        room = high + 1 - low
+        if len(new) <= room:
+            for i in range(room):
+                self._set(low + i, *((new[i], counts[i]) if i < len(new) else ("", 0)))
+        else:  # more leaves than there were: the others keep their counts and move
+            tokens = self.tokens[self.size : self.size + len(self.leaves)]
+            self._build([*self.leaves[:low], *new, *self.leaves[high + 1 :]], [*tokens[:low], *counts, *tokens[high + 1 :]])
 
 
 _OUT = "doc_id long, n_chars long, n_tokens long, n_chars_after long, n_tokens_after long, n_edits int, n_reencoded long"
@@ -111,7 +135,7 @@ _OUT = "doc_id long, n_chars long, n_tokens long, n_chars_after long, n_tokens_a
 def _kernel(tokenizer: str, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(tokenizer)
-        for b in batches:
+        for b in in_bytes(batches, 1):
             rows = []
             docs, texts, edits_of = (c.to_pylist() for c in b.columns)
             trees = (t for i in range(0, len(texts), 256) for t in CountTree.all_of(texts[i : i + 256], coder, run))
