@@ -62,23 +62,23 @@ def _read_varint(b: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bits(key: bytes, size: int, hashes: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key)
+def _bits(h: int, size: int, hashes: int) -> list[int]:
+    """Places in a Bloom filter of ``size`` bytes for a key's 128-bit hash."""
     a, b = h >> 64, h & (2**64 - 1) | 1
     return [(a + i * b) % (8 * size) for i in range(hashes)]
 
 
 class Writer:
-    """Writes entries, which must come in key order, to an open binary file; holds one block and the keys' hashes in memory."""
+    """Writes entries, which must come in key order, to an open binary file; holds one block and 16 bytes a key in memory."""
 
     def __init__(self, out, block_bytes: int = 256 * 1024, wide: bool = False, bits_per_key: int = 10):
         self.out, self.block_bytes, self.wide, self.bits_per_key = out, block_bytes, wide, bits_per_key
         self.at = self.ids = 0
-        self.block, self.index, self.keys, self.last, self.first = bytearray(), [], [], b"", b""
+        self.block, self.index, self.hashed, self.entries, self.last, self.first = bytearray(), [], bytearray(), 0, b"", b""
         self.compressor = zstandard.ZstdCompressor(level=1)
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
-        if self.keys and key <= self.keys[-1]:
+        if self.entries and key <= self.last:
             raise ValueError("keys must ascend")
         shared = 0
         if self.block:
@@ -88,7 +88,8 @@ class Writer:
             self.first = key
         self.block += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(len(ids)) + ids.astype("<u4" if self.wide else "<u2").tobytes()
         self.last = key
-        self.keys.append(key)
+        self.hashed += xxhash.xxh3_128_digest(key)
+        self.entries += 1
         self.ids += len(ids)
         if len(self.block) >= self.block_bytes:
             self._flush()
@@ -104,13 +105,13 @@ class Writer:
     def close(self) -> None:
         self._flush()
         index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) for k, at, n in self.index)
-        size, hashes = max(1, len(self.keys) * self.bits_per_key // 8), 7
+        size, hashes = max(1, self.entries * self.bits_per_key // 8), 7
         bloom = bytearray(size)
-        for k in self.keys:
-            for x in _bits(k, size, hashes):
+        for i in range(0, len(self.hashed), 16):
+            for x in _bits(int.from_bytes(self.hashed[i : i + 16], "big"), size, hashes):
                 bloom[x >> 3] |= 1 << (x & 7)
         self.out.write(index + bytes(bloom))
-        self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), size, len(self.keys), self.ids, hashes, 4 if self.wide else 2, MAGIC))
+        self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), size, self.entries, self.ids, hashes, 4 if self.wide else 2, MAGIC))
 
 
 class Reader:
@@ -151,7 +152,7 @@ class Reader:
             yield from self._block(i)
 
     def may_have(self, key: bytes) -> bool:
-        return all(self.bloom[x >> 3] >> (x & 7) & 1 for x in _bits(key, len(self.bloom), self.hashes))
+        return all(self.bloom[x >> 3] >> (x & 7) & 1 for x in _bits(xxhash.xxh3_128_intdigest(key), len(self.bloom), self.hashes))
 
     def get(self, doc_id: int | None) -> np.ndarray | None:
         """The ids of the first entry with this doc_id, or None."""
@@ -193,24 +194,28 @@ def _write_kernel(folder: str, tokenizer: str, wide: bool):
             fs.delete_file(ours)
             return
         fs.move(ours, final)  # the same content whichever attempt comes last
-        yield _batch([(shard, f"{folder}/{posixpath.basename(final)}", fs.get_file_info(final).size, len(writer.keys), writer.ids)], _WRITTEN)
+        yield _batch([(shard, f"{folder}/{posixpath.basename(final)}", fs.get_file_info(final).size, writer.entries, writer.ids)], _WRITTEN)
 
     return run
 
 
-def write_shards(docs: DataFrame, tokenizer: str, shards: int | None = None, wide: bool = False, folder: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, shards: int | None = None, wide: bool = False, folder: str | None = None, shard_bytes: int = 128 << 20) -> DataFrame:
     """Encode the documents and write them as sorted-string tables; returns the manifest.
 
     Shard i has the i-th range of doc_ids (null first); rows with one doc_id
     are cut at hashes of the text if need be, so that no id fills one shard.
     The manifest has a row per shard: shard, path, bytes, docs, ids, base (the
     ids of all shards before it). wide: 32-bit ids, for vocabularies over 65,536.
-    folder: where the files go, a folder that all machines share.
+    folder: where the files go, a folder that all machines share, with its scheme.
+    shards: as many as the texts have times ``shard_bytes`` if not given, the shuffle partitions at least.
     Null and empty texts hold the end id alone; an empty table gives no shard.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "sst")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards
+    if not n:
+        size = id_and_text(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     rows = id_and_text(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(n, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie").select("doc_id", "text")
     written = materialize(rows.mapInArrow(_write_kernel(folder, tokenizer, wide), _WRITTEN), "manifest")
     before = F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")  # a row per shard
