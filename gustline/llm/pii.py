@@ -63,10 +63,12 @@ KINDS = [
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "__pii_digits", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_luhn(_DIGITS)}", 0.8, "card|visa|credit|karte|tarjeta|carte"),
     # \+[0-9][\x20().0-9-]+[0-9], 9 to 15 digits
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "__pii_digits AND contains(__pii_text, '+')", f"length({_DIGITS}) BETWEEN 9 AND 15", 0.7, "phone|call|tel|mobile|fax"),
-    # country, check digits and groups of an account number; mod-97 must be 1
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "__pii_digits", f"length({_IBAN}) BETWEEN 15 AND 34 AND {_mod97(f'concat(substring({_IBAN}, 5), left({_IBAN}, 4))')}", 0.7, "iban|account|konto|cuenta|compte|bank", base=False),
+    # country, check digits and groups of an account number; mod-97 must be 1, and a word say what it is (one in 97 passes by chance)
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "__pii_digits", f"length({_IBAN}) BETWEEN 15 AND 34 AND {_mod97(f'concat(substring({_IBAN}, 5), left({_IBAN}, 4))')}", 0.5, "iban|account|konto|cuenta|compte|bank", base=False),
     # three, two and four digits: only beside a word that says what they are
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "__pii_digits AND contains(__pii_text, '-')", "left(m, 3) NOT IN ('000', '666') AND left(m, 1) <> '9' AND substring(m, 5, 2) <> '00' AND right(m, 4) <> '0000'", 0.4, "ssn|social security|sozialversicherung", base=False),
+    # twenty or more letters and digits, both of them: only beside a word that says they are a secret
+    Kind("secret", r"[A-Za-z0-9_-]{20,}+", "__pii_digits", "m rlike '[0-9]' AND m rlike '[A-Za-z]'", 0.4, "token|secret|password|passwd|api[_ -]?key", base=False),
 ]
 REACH = 40
 
@@ -121,12 +123,16 @@ def joined(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: how many spans of each base kind, the hash of the base spans, and all spans."""
+    """Per document: how many spans of each base kind, the hash of the base spans, all spans, and their scores in the same order.
+
+    A null or empty text has no spans; rows with the same doc_id come each on
+    their own; other columns are left out; an empty table gives no rows.
+    """
     base = [k.name for k in KINDS if k.base]
     found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     counts = [F.expr(f"size(filter(spans, s -> s.kind = '{n}'))").cast("long").alias(f"n_{n}") for n in base]
     of_base = F.filter("spans", lambda s: s["kind"].isin(base))
-    return found.select("doc_id", *counts, F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
