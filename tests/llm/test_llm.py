@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gustline.llm import decontaminate, edits, html, neardup, packing, pii, quality_classifier, quality_rules, sstable, toxicity
 from gustline.llm.tokens import Coder, default_tokenizer
@@ -74,18 +75,58 @@ def test_table_lookup():
     assert all(r.get(k) is None for k in range(1, 900, 3)) and sum(r.may_have(sstable.key_of(k)) for k in range(1, 900, 3)) < 30
 
 
+CJK = "你好，世界。这是一个测试！" * 300
+
+
 def test_edits():
     c, r = Coder.of(default_tokenizer()), random.Random(5)
-    for t in [*ODD, "some words of a text, " * 40]:
+    quotes = ("wo" + "'" * 4 + "rds" + "'" * 3 + "s 't don't" + "'" * 2 + "ll ") * 60
+    for t in [*ODD, "some words of a text, " * 40, quotes, "ab12!!'s" * 400, CJK[:3000], "\n\n \n x" * 500]:
         tree = edits.CountTree.all_of([t], c, run=4)[0]
-        for _ in range(12):
-            at, n, ins = r.randint(0, len(t) + 2), r.randint(0, 9), r.choice(["", " ", "x", " new word ", "\n\n", "long insert " * 200])
+        for _ in range(25):
+            at, n, ins = r.randint(0, len(t) + 2), r.choice([0, 1, 2, 3, 9, 30]), r.choice(["", " ", "x", "'", "'s", "，", " new word ", "\n\n", "long insert " * 200])
             at = min(at, len(t))
             t = t[:at] + ins + t[at + n :]
             tree.edit(at, n, ins)
             assert tree.text() == t and tree.n_tokens == len(ids_of(t)) - 1, repr(t[:80])
 
 
+class Counting:
+    """A coder that counts the code points it is given."""
+
+    def __init__(self):
+        self.coder, self.chars = Coder.of(default_tokenizer()), 0
+
+    def encode(self, texts, at_once=128):
+        self.chars += sum(map(len, texts))
+        return self.coder.encode(texts, at_once)
+
+
+def test_edits_encode_what_they_report():
+    for text, insert, most in ((CJK * 8, "x", 4 * edits.LONG), ("word " * 9000, "new " * 6000, 30_000), ("word " * 9000, "x", 4 * edits.LONG)):
+        c = Counting()
+        tree = edits.CountTree.all_of([text], c)[0]
+        c.chars = 0
+        tree.edit(len(text) // 2, 0, insert)
+        assert tree.reencoded == c.chars < most and tree.n_tokens == len(ids_of(tree.text())) - 1
+
+
+def test_counts_with_edits_in_spark(spark):
+    docs = documents(spark, [CJK, CJK])
+    n = F.length(F.coalesce("text", F.lit("")))
+    by = F.array(edits.edit((n / 2).cast("long"), F.lit(3), F.lit(" x,")), edits.edit(F.lit(None), F.lit(None), F.lit(None)))
+    out = sorted(map(tuple, edits.count_with_edits(docs, by, default_tokenizer()).drop("n_reencoded").collect()), key=str)
+    want = []
+    for d in docs.collect():
+        t = d.text or ""
+        after = t[: len(t) // 2] + " x," + t[len(t) // 2 + 3 :]
+        want.append((d.doc_id, len(t), len(ids_of(t)) - 1, len(after), len(ids_of(after)) - 1, 2))
+    assert out == sorted(want, key=str)
+    assert edits.count_with_edits(docs.limit(0), by, default_tokenizer()).count() == 0
+    none = F.lit(None).cast("array<struct<at:bigint,remove:bigint,insert:string>>")
+    assert edits.count_with_edits(docs, none, default_tokenizer()).agg(F.sum("n_edits")).first()[0] == 0
+
+
 def brute_components(rows, size, percent):
     sets, home = defaultdict(list), {}
     for i, t in rows:
@@ -119,8 +160,8 @@ def test_near_duplicates(spark, size, percent):
     docs = documents(spark, variants)
     rows = [(d.doc_id, d.text) for d in docs.collect() if d.doc_id is not None]
     want = brute_components(rows, size, percent)
-    for small, block in ((8, 16), (1, 16)):
-        got = neardup.near_duplicates(docs, size, percent, small=small, block=block).collect()
+    for small, block, least in ((8, 16, 1000), (1, 16, 5)):
+        got = neardup.near_duplicates(docs, size, percent, small=small, block=block, least=least).collect()
         assert {g.doc_id: g.component_id for g in got if g.doc_id is not None} == want
         assert len(got) == docs.count() and all(g.kept == (g.doc_id == g.component_id) for g in got if g.doc_id is not None)
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
@@ -130,7 +171,16 @@ def test_estimate_is_close():
     s = neardup.Shingler(3)
     a = s(" ".join(map(str, range(3000))))
     b = s(" ".join(map(str, range(600, 3600))))
-    assert abs(neardup.estimate(neardup.registers(a, 1024), neardup.registers(b, 1024)) - 2398 / 3598) < 0.06
+    assert abs(neardup.estimate(neardup.registers(a, 1024), neardup.registers(b, 1024), 2998, 2998) - 2398 / 3598) < 0.06
+
+
+def test_chance_of_equal_registers():
+    r = np.random.default_rng(3)
+    for n, k in ((20_000, 20_000), (20_000, 2_000), (300_000, 300_000)):
+        m = 1024
+        equal = [np.mean(neardup.registers(r.integers(0, 2**63, n, np.uint64) * 2 + 1, m) == neardup.registers(r.integers(0, 2**63, k, np.uint64) * 2 + 1, m)) for _ in range(200 if n < 100_000 else 40)]
+        want = neardup._chance(round(4 * np.log2(k / m)), round(4 * np.log2(n / m)))
+        assert np.mean(equal) == pytest.approx(want, rel=0.5, abs=3e-5)
 
 
 def brute_pii(t):
@@ -296,16 +346,16 @@ def test_toxicity(spark):
 
 
 def toxic_decoder(**options):
-    words = Counter({w.encode(): 50 for w in "what a stupid man you are worthless idiot disgusting the river morning walked along quiet street under yellow light".split()})
-    counts = toxicity.gram_counts(words)
+    counts = toxicity.gram_counts(["what a stupid man you are worthless idiot disgusting the river morning walked along quiet street under yellow light"] * 50)
     p = (counts.reshape(-1, 27) + 0.01) / (counts.reshape(-1, 27) + 0.01).sum(1, keepdims=True)
     return toxicity.Decoder(np.log(p).astype(np.float32).ravel(), **options)
 
 
 def test_spaces_are_decoded():
     d = toxic_decoder()
-    for text, want in {"what a s t u p i d man": "stupid", "y o u a r e s t u p i d": "stupid", "w o r t h l e s s i d i o t": "idiot", "s  t  u  p  i  d": "stupid", "a stu pid man": "stupid", "you i d i o t.": "idiot", "m a n": "man"}.items():
+    for text, want in {"what a s t u p i d man": "stupid", "y o u a r e s t u p i d": "stupid", "w o r t h l e s s i d i o t": "idiot", "s  t  u  p  i  d": "stupid", "a stu pid man": "stupid", "you i d i o t.": "idiot", "m a n": "man", "you i d-i o-t": "idiot", "i-d i-o-t": "idiot", "m a m a n": "man"}.items():
         assert want in d.words(text), (text, d.words(text))
+    assert "boob" in d.words("b o o b") or "bob" in d.words("b o o b")
     assert d.words("the quiet street") == {"the", "quiet", "street"}
     assert d.words("- " * 3000 + ". " * 3000 + "a " * 3000)  # ends
 
