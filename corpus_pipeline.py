@@ -20,40 +20,66 @@ from gustline.llm.tokens import default_tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier, fitted on these documents, scores at least 0.3."""
+    """Documents that the positive-unlabelled classifier, fitted on these documents, scores at least 0.3.
+
+    Null and empty texts are scored as texts without words; rows with the same
+    doc_id or text are scored each on their own and come out alike; all columns
+    stay, whatever their names; an empty table gives no rows.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, 0.3, keep=True).where("predicted = 1").select(*docs.columns)
+    return score(docs, model, 0.3, keep=True).where("__predicted = 1").select(*_names(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares four fifths of its five-word shingles, the one with the smallest doc_id."""
+    """One document of each group that shares four fifths of its five-word shingles, the one with the smallest doc_id.
+
+    Rows with one doc_id are one document and stay or go together; rows without
+    a doc_id, and texts that are null or without words, stay; all columns stay;
+    an empty table gives no rows.
+    """
     return _without(docs, near_duplicates(docs).where(~F.col("kept")).select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Rows with one doc_id go together if one of them holds an item; rows without
+    a doc_id, and null and empty texts, stay; all columns stay; without items
+    everything stays; an empty table gives no rows.
+    """
     return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind; null texts stay null, other columns as they are, each row on its own."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths up to 1024 tokens, each a sequence of its own."""
+    """Pieces of power-of-two lengths up to 1024 tokens, each a sequence of its own.
+
+    A null or empty text is one piece with the end id; rows with the same doc_id
+    and rows without one are packed each on their own; other columns are left
+    out; an empty table gives no rows.
+    """
     return pack(docs, default_tokenizer(), most=1024, with_ids=False)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
 
-#: SQL can't express a fitted network, a subword tokenizer or a latent space: tests/llm holds the stages against brute force.
+#: SQL can't express a fitted network, a subword tokenizer or a latent space: tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs but those whose doc_id is in ``gone``; a document without an id stays."""
-    return docs.join(materialize(gone.distinct(), "gone"), "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*_names(docs))
+
+
+def _names(docs: DataFrame) -> list[str]:
+    """Column names, quoted: they may hold dots."""
+    return [f"`{c.replace('`', '``')}`" for c in docs.columns]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
