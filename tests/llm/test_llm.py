@@ -197,14 +197,18 @@ def brute_pii(t):
 
 def test_pii(spark):
     r = random.Random(2)
-    texts = [None, "", "a@b.c_x@d.e a@b@c.d ..@x.y", "1.2.3.4.5.6.7.8 999.1.1.1 0000255.1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (619) 555-0053 4799567889864505", "\U0001f600 mail: x.y@z.example.com", "9" * 30000, "a" * 30000, "IBAN GB82 WEST 1234 5698 7654 32 ok", "SSN 123-45-6789, not 123-45-6788"]
+    texts = [None, "", "a@b.c_x@d.e a@b@c.d ..@x.y", "1.2.3.4.5.6.7.8 999.1.1.1 0000255.1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (619) 555-0053 4799567889864505", "\U0001f600 mail: x.y@z.example.com", "9" * 30000, "a" * 30000, "IBAN GB82 WEST 1234 5698 7654 32 ok", "SSN 123-45-6789, not 123-45-6788", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "see 04dbebab91ab85687d33eeaaf9ac699e1188f962", "GB82 WEST 1234 5698 7654 32"]
     texts += ["".join(r.choice("a1.@+ -(5)") for _ in range(r.randint(5, 80))) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for row in pii.digest(docs).collect():
         spans = row.spans.split(",") if row.spans else []
-        assert [s for s in spans if s.split(":")[0] not in ("iban", "ssn")] == brute_pii(texts[row.doc_id]), texts[row.doc_id][:80]
+        assert [s for s in spans if s.split(":")[0] not in ("iban", "ssn", "secret")] == brute_pii(texts[row.doc_id]), texts[row.doc_id][:80]
     got = {row.doc_id: row.spans for row in pii.digest(docs).collect()}
     assert got[9] == "iban:5:32" and got[10] == "ssn:4:15,ssn:21:32"
+    assert got[11] == "secret:9:49" and got[12] == "" and got[13] == ""  # a secret that is named; one, and an account number, that aren't
+    assert {row.doc_id: row.scores for row in pii.digest(docs).collect()}[11] == "0.6"
+    odd = docs.select("doc_id", "text", F.lit(1).alias("spans"), F.lit("x").alias("n_email"), F.lit(2).alias("kind"))
+    assert pii.digest(odd).count() == len(texts) and pii.redact(odd).columns == odd.columns and pii.digest(docs.limit(0)).count() == 0
     clean = {row.doc_id: row.text for row in pii.redact(docs).collect()}
     assert clean[6] == "\U0001f600 mail: [EMAIL]" and clean[0] is None and clean[1] == ""
 
@@ -223,6 +227,41 @@ def test_quality_measures(spark):
     assert sorted(map(str, out)) == sorted(map(str, same)) and quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def test_kept_against_exact_quantiles(spark):
+    """The verdict from exact quartiles of each group: equal but where a measure is as near its fence as the sketch is accurate."""
+    r = random.Random(19)
+    rows = []
+    for i in range(1500):
+        k = i % 3
+        words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1 + 2 * k, 4 + 3 * k))) for _ in range(r.randint(50, 200))]
+        for _ in range(r.choice([0, 0, 0, 1, 2, 3, 8, 30])):
+            words[r.randrange(len(words))] += r.choice(["#", "$$", "|"])
+        for _ in range(r.choice([0, 0, 1, 4])):
+            words[r.randrange(len(words))] = words[0].upper()
+        rows.append((i, "en" if k else "de", f"s{k}", " ".join(words)))
+    out = {x.doc_id: x for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()}
+    values, event = {}, {k: e for k, (_, _, e) in quality_rules.MEASURES.items()}
+    for i, _, source, t in rows:
+        n, chars, symbols, dups, repeats, uppers, _ = quality_rules.measure(t)
+        values[i] = (source, n, {"symbols": symbols / n, "repeats": repeats / n, "dup_lines": dups / n, "uppers": uppers / n, "word_length": chars / n})
+    at = lambda v, q: sorted(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+    clear = 0
+    for source in ("s0", "s1", "s2"):
+        group = [x for x in values.values() if x[0] == source]
+        short = at([x[1] for x in group], 0.25)
+        fence = {}
+        for k in quality_rules.MEASURES:
+            v = [x[2][k] for x in group]
+            a, b = at(v, 0.25), at(v, 0.75)
+            fence[k] = b + 3 * max(b - a, event[k] / short)
+        for i, (s, _, m) in values.items():
+            if s == source and all(abs(m[k] - fence[k]) > 0.05 * fence[k] for k in fence):
+                clear += 1
+                assert out[i].kept == (not out[i].base_failed and all(m[k] <= fence[k] for k in fence))
+    assert clear > 1300 and 20 < sum(not x.kept for x in out.values()) < 700
+    assert len({x.fence_word_length for x in out.values()}) == 3
+
+
 def test_sketch_quantiles(spark):
     rows = [(i, "en", "s", "w " * 10 + "#" * i) for i in range(1, 400)]
     m = quality_rules.measures(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"))
@@ -250,6 +289,20 @@ def test_html(spark):
     assert got[2] == ("", 0) and got[3] == ("", 0) and got[4] == ("cut &am", 7) and got[1][1] == len(got[1][0])
 
 
+def test_html_quotes_and_depth():
+    assert html.extract("<p class=it's>Hello, it is text") == "Hello, it is text"
+    assert html.extract('<p title="oops>Some text, here</p><p>more</p>') == "Some text, here\nmore"
+    assert html.extract("<p title='a > b' class=\"x\">Some text, here</p>") == "Some text, here"
+    assert html.extract("<div>" * 3000 + "<nav>Menu</nav><p>Text of the article, here.</p>" + "</div>" * 3000) == "Text of the article, here."
+
+
+def test_html_odd_tables(spark):
+    page = "<div class=content><p>Real text, with commas, and more of it.</p></div>"
+    pages = spark.createDataFrame([(1, "u", page, "t", 5), (1, "u", page, "t", 5), (None, None, page * 4000, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    out = html.main_text(pages).collect()
+    assert [r.n_chars for r in out][:2] == [39, 39] and out[2].n_chars == 4000 * 40 - 1 and html.main_text(pages.limit(0)).count() == 0
+
+
 def test_html_names_that_are_not_bad():
     text = "<h2>Title</h2><p>Real text, with commas, and more of it.</p>"
     want = "Title\nReal text, with commas, and more of it."
@@ -381,6 +434,15 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_prior_from_positives_and_unlabelled():
+    r = np.random.default_rng(5)
+    for share in (0.3, 0.6, 0.9):
+        good, bad = (r.normal(m, 1, (4000, quality_classifier.N_FEATURES)) for m in (0, 1.5))
+        mixed = np.concatenate([good[: int(3000 * share)], bad[: int(3000 * (1 - share))]])
+        assert quality_classifier.estimate_prior(good[3000:], mixed) == pytest.approx(share, abs=0.06)
+    assert quality_classifier.estimate_prior(good[:1], mixed[:1]) == 0.5
+
+
 def test_commonest_word_of_all():
     kinds = [f"w{i}" for i in range(40)]
     words = kinds + [w for w in ("w7", "w31") for _ in range(20)]
