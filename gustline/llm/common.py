@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: By application: the folder used where the session names no ``spark.checkpoint.dir``, and whether the package was sent to workers.
 _own_dirs: dict[str, str] = {}
@@ -78,9 +80,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, where the session leaves Spark's default of 64 MB: every task holds some batches outside the heap.
+ARROW_BYTES, _DEFAULT_BYTES = "4m", "67108864b"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application, as an archive that Spark hands to every executor."""
+    """Send this package to the Python workers, once for each application, as an archive that Spark hands to every executor; make Arrow batches smaller."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", _DEFAULT_BYTES) == _DEFAULT_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if sc.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -124,6 +132,23 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     return id_and_text(docs).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label")
 
 
+def _give_back() -> None:
+    """Return what a task has freed to the system: a worker waits for its next task with little more than its modules."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, kernel: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(kernel, schema) by workers that give back their memory after each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def in_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose strings of one column take ``most`` bytes together, or of one row: what a kernel makes of them is bounded by this or by one text."""
     for b in batches:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import in_bytes, ship_package
+from gustline.llm.common import in_arrow, in_bytes, ship_package
 from gustline.llm.tokens import _CUT, Coder
 
 #: Code points over which a leaf is cut at pre-tokens too, and the context that decides whether a cut stays one.
@@ -166,4 +166,4 @@ def count_with_edits(docs: DataFrame, edits: Column, tokenizer: str, run: int =
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), edits.alias("edits"))
-    return rows.mapInArrow(_kernel(tokenizer, run), _OUT)
+    return rows.transform(in_arrow, _kernel(tokenizer, run), _OUT)

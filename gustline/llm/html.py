@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import in_bytes, ship_package
+from gustline.llm.common import in_arrow, in_bytes, ship_package
 
 #: A quote has a meaning only after "=", and only if another closes it.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S)
@@ -256,4 +256,4 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     ship_package(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return rows.mapInArrow(_kernel, "page_id long, url string, text string, n_chars long")
+    return rows.transform(in_arrow, _kernel, "page_id long, url string, text string, n_chars long")

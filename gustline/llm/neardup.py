@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import by_text, id_and_text, materialize
+from gustline.llm.common import by_text, id_and_text, in_arrow, materialize
 
 _SIG = "doc_id long, n_shingles long, fp string, sig binary"
 _SET = "id long, n long, sig binary, shingles binary"
@@ -217,7 +217,7 @@ class _Links:
         two = self.sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"), F.col("shingles").alias("sb"))
         rows = _meet(_meet(pairs, one, "a", "b", _hot_in(pairs, "a", self.least)), two, "b", "a", _hot_in(pairs, "b", self.least))
         rows = rows.select("a", "b", "na", "nb", "ga", "gb", "sa", "sb")
-        found = materialize(rows.mapInArrow(_check_kernel(self.percent, self.m), "a long, b long"), "links")
+        found = materialize(rows.transform(in_arrow, _check_kernel(self.percent, self.m), "a long, b long"), "links")
         self.edges = found if self.edges is None else self.edges.union(found)
         self.components = connected(self.edges, least=self.least)
 
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """
     m = bands * rows
     docs = id_and_text(docs)
-    sigs = materialize(docs.mapInArrow(_sign_kernel(shingle, m), _SIG), "signatures")
+    sigs = materialize(docs.transform(in_arrow, _sign_kernel(shingle, m), _SIG), "signatures")
     named = sigs.where("fp is not null and doc_id is not null")
     classes = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
     total = named.count()
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     # the keys that two documents share at least: all later rounds read this table
     shared = materialize(_meet(keys, buckets, "key", "id", _hot(buckets, "key", total * bands, least)), "shared")
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_kernel(shingle, m), _SET), "sets")
+    sets = materialize(docs.join(wanted, "doc_id", "left_semi").transform(in_arrow, _set_kernel(shingle, m), _SET), "sets")
     links = _Links(sets, percent, m, least)
     links.check(shared.where(f"band < {first} and id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
 

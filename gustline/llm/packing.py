@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustline.llm.common import by_text, id_and_text, materialize
+from gustline.llm.common import by_text, id_and_text, in_arrow, materialize
 from gustline.llm.tokens import END, Coder
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, at long, ids binary"
@@ -70,7 +70,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 1024, with_ids: bool = Tru
     """
     if most < 1 or most & (most - 1):
         raise ValueError("most must be a power of two")
-    pieces = materialize(id_and_text(docs).mapInArrow(_kernel(tokenizer, most, with_ids), _PIECE), "pieces")
+    pieces = materialize(id_and_text(docs).transform(in_arrow, _kernel(tokenizer, most, with_ids), _PIECE), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.max("at").alias("last"))
     # one row per length (11 of them) and task: the sum runs within each length, then over the lengths
     by_length = counts.groupBy("length").agg(F.sum(F.col("last") + 1).alias("n"))

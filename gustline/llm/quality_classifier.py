@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gustline.llm.common import by_text, held_out, id_and_text, in_bytes, labelled, ship_package
+from gustline.llm.common import by_text, held_out, id_and_text, in_arrow, in_bytes, labelled, ship_package
 from gustline.llm.quality_rules import measure
 
 N_FEATURES = 16
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
     known = labelled(docs, labels.where(F.col("quality") == 1), "quality", most).select("doc_id", "text", "label")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(most)
     some = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.lit(-1).alias("label"))
-    rows = known.union(some).mapInArrow(_feature_kernel, "label int, x array<double>").toPandas()
+    rows = known.union(some).transform(in_arrow, _feature_kernel, "label int, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), N_FEATURES)
     y = rows["label"].to_numpy()
     positive, unlabelled = x[y == 1], x[y == -1]
@@ -180,15 +180,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: bool = Fa
             for b in in_bytes(batches, at):
                 yield pa.RecordBatch.from_arrays([*b.columns, chances(b.column(at).to_pylist())], names=[*b.schema.names, "__score"])
 
-        plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow takes no names with dots
+        plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # Arrow takes no names with dots
         schema = StructType([*plain.schema.fields, StructField("__score", DoubleType())])
-        return plain.mapInArrow(whole, schema).toDF(*docs.columns, "__score").withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
+        return plain.transform(in_arrow, whole, schema).toDF(*docs.columns, "__score").withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in by_text(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), chances(texts)], names=["doc_id", "score"])
 
-    out = id_and_text(docs).mapInArrow(run, _OUT)
+    out = id_and_text(docs).transform(in_arrow, run, _OUT)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

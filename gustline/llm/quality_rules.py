@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustline.llm.common import materialize, ship_package
+from gustline.llm.common import in_arrow, materialize, ship_package
 
 _OUT = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_pipes long"
 _SYMBOLS = b"#*$%&|<>"
@@ -75,7 +75,7 @@ def measures(docs: DataFrame) -> DataFrame:
     """The measures of every document; null texts have no words, null lang or source count as ''."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    return rows.mapInArrow(_kernel, _OUT)
+    return rows.transform(in_arrow, _kernel, _OUT)
 
 
 def sketches(measured: DataFrame, accuracy: float = 0.01) -> DataFrame:

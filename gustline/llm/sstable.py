@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustline.llm.common import by_text, id_and_text, materialize, new_path
+from gustline.llm.common import by_text, id_and_text, in_arrow, materialize, new_path
 from gustline.llm.tokens import END, Coder
 
 MAGIC = b"GUSTSST1"
@@ -217,7 +217,7 @@ def write_shards(docs: DataFrame, tokenizer: str, shards: int | None = None, wid
         size = id_and_text(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     rows = id_and_text(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(n, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie").select("doc_id", "text")
-    written = materialize(rows.mapInArrow(_write_kernel(folder, tokenizer, wide), _WRITTEN), "manifest")
+    written = materialize(rows.transform(in_arrow, _write_kernel(folder, tokenizer, wide), _WRITTEN), "manifest")
     before = F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")  # a row per shard
     return written.withColumn("base", before)
 
@@ -244,4 +244,4 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     One task reads one file and holds one block of it.
     """
     rows = manifest.select("path", "bytes", "base")
-    return rows.repartition(max(1, manifest.count())).mapInArrow(_read_kernel, _READ)
+    return rows.repartition(max(1, manifest.count())).transform(in_arrow, _read_kernel, _READ)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import by_text, held_out, id_and_text, labelled, materialize
+from gustline.llm.common import by_text, held_out, id_and_text, in_arrow, labelled, materialize
 
 ORDER, SIZE = 4, 27
 #: What a character may stand for, with the channel's cost of each reading (fixed values).
@@ -107,7 +107,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
     Interpolated (Witten-Bell) from order 4 down to the uniform distribution.
     What reaches the driver is at most SIZE ** ORDER sums, however many documents.
     """
-    rows = id_and_text(docs).mapInArrow(_count_kernel, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = id_and_text(docs).transform(in_arrow, _count_kernel, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SIZE**ORDER)
     counts[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
     levels = [counts.reshape((SIZE,) * ORDER)]
@@ -425,7 +425,7 @@ def train(docs: DataFrame, labels: DataFrame, shared, most: int = 20_000) -> tup
     half = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("int").alias("half")
     rows = materialize(labelled(docs, labels, "toxic", most).select(half, "text", "label"), "labelled")
     total = {(r["half"], r["label"]): r["count"] for r in rows.groupBy("half", "label").count().collect()}
-    df = materialize(rows.mapInArrow(_df_kernel(shared), "word string, fold int, toxic long, clean long").groupBy("word").agg(*(F.sum(F.when(F.col("fold").isin(*f), F.col(c))).alias(f"{c}{i}") for i, f in enumerate(((0,), (1,), (0, 1))) for c in ("toxic", "clean"))), "frequencies")
+    df = materialize(rows.transform(in_arrow, _df_kernel(shared), "word string, fold int, toxic long, clean long").groupBy("word").agg(*(F.sum(F.when(F.col("fold").isin(*f), F.col(c))).alias(f"{c}{i}") for i, f in enumerate(((0,), (1,), (0, 1))) for c in ("toxic", "clean"))), "frequencies")
     lexicons = []
     for i, folds in enumerate(((0,), (1,), (0, 1))):
         pos, neg = (sum(total.get((f, y), 0) for f in folds) for y in (1, 0))
@@ -434,7 +434,7 @@ def train(docs: DataFrame, labels: DataFrame, shared, most: int = 20_000) -> tup
         top = df.where(F.col(f"toxic{i}") >= 2).withColumn("w", weight).where("w > 0.5").select("word", "w").collect()
         lexicons.append(Lexicon({r["word"]: r["w"] for r in top}))
     halves = docs.sparkSession.sparkContext.broadcast(lexicons[:2])
-    seen = rows.mapInArrow(_evidence_kernel(shared, halves), "half int, label int, x array<double>").toPandas()
+    seen = rows.transform(in_arrow, _evidence_kernel(shared, halves), "half int, label int, x array<double>").toPandas()
     x, y = np.array(seen["x"].tolist(), float).reshape(len(seen), 6), seen["label"].to_numpy(float)
     order = np.lexsort((y, *x.T))  # whatever order the rows came in
     x, y = x[order], y[order]
@@ -465,5 +465,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: i
         for ids, texts in by_text(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_chances([words.evidence(decoder.words(t)) for t in texts], w), pa.float64())], names=["doc_id", "score"])
 
-    out = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+    out = id_and_text(docs).transform(in_arrow, run, "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
