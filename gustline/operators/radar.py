@@ -54,12 +54,11 @@ def wet_hours(hourly: DataFrame, hours: DataFrame, threshold: float = 2.5, most:
     hours (t): those to look at; hourly (t, value): an hour without rows or data is dry.
     """
     q = hours.join(hourly, "t", "left").groupBy("t").agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("qmax"))
-    best = q.orderBy(F.desc("qmax"), "t").limit(1).withColumn("rank", F.lit(0))
-    wet = q.where(F.col("qmax") > threshold).orderBy(F.desc("qmax"), "t")
-    wet = (wet.limit(most) if most else wet).withColumn("rank", F.lit(1))
-    both = wet.unionByName(best)
-    top = both.agg(F.max("rank").alias("top"))
-    return both.join(F.broadcast(top), F.col("rank") == F.col("top")).select("t", "qmax").orderBy("t")
+    # one row an hour: sorted and cut as one array, in one pass over the scans
+    hours_ = q.agg(F.array_sort(F.collect_list(F.struct((-F.col("qmax")).alias("dry"), "t"))).alias("all"))
+    wet = F.filter("all", lambda x: x["dry"] < -threshold)
+    top = F.when(F.size(wet) > 0, F.slice(wet, 1, most) if most else wet).otherwise(F.slice("all", 1, 1))
+    return hours_.select(F.explode(top).alias("x")).select("x.t", (-F.col("x.dry")).alias("qmax")).orderBy("t")
 
 
 def contiguous_runs(hours: DataFrame) -> DataFrame:

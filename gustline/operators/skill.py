@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,18 +49,51 @@ def mean_field_bias(pairs: DataFrame) -> DataFrame:
     return ok.agg(F.greatest(F.coalesce(F.try_divide(F.sum("val"), F.sum("radar")), F.lit(1.0)), F.lit(0.0)).alias("factor"))
 
 
-def idw(targets: DataFrame, sources: DataFrame, keys: list[str], value: Column, p: float = 2.0, eps: float = 1.0) -> DataFrame:
-    """targets (keys, x, y) with ``idw`` of the sources (sx, sy and what value needs): sum(w v) / sum(w), w = max(d, eps) ** -p.
+#: Sources that one row holds as an array, and over which they are no longer broadcast.
+BLOCK, BROADCAST = 4096, 200_000
+
+
+def _beside(targets: DataFrame, sources: DataFrame) -> tuple[DataFrame, bool]:
+    """Each target with all sources as one array, or with one array after the other; the latter is told.
+
+    The sources are counted first. Their arrays are broadcast unless they are
+    very many; then Spark pairs targets and arrays without a copy for every task.
+    """
+    n = sources.count()
+    parts = sources.select(F.struct(*sources.columns).alias("s"), F.pmod(F.xxhash64(*sources.columns), F.lit(-(-n // BLOCK) or 1)).alias("b"))
+    if n <= BLOCK:
+        return targets.crossJoin(F.broadcast(parts.agg(F.collect_list("s").alias("__s")))), False
+    parts = parts.groupBy("b").agg(F.collect_list("s").alias("__s")).select("__s")
+    return targets.crossJoin(F.broadcast(parts) if n <= BROADCAST else parts), True
+
+
+def _sums(rows: DataFrame, keys: list[str], several: bool, terms: dict[str, Callable]) -> DataFrame:
+    """rows with the sum of each term (a function of a source, NULL: left out) over the array, or over the arrays of equal keys."""
+    start = F.struct(*(F.lit(0.0).alias(k) for k in terms))
+    total = F.aggregate("__s", start, lambda a, x: F.struct(*((a[k] + F.coalesce(f(x).cast("double"), F.lit(0.0))).alias(k) for k, f in terms.items())))
+    out = rows.withColumn("__t", total).drop("__s")
+    if not several:
+        return out.select(*(c for c in out.columns if c != "__t"), *(F.col(f"__t.{k}").alias(k) for k in terms))
+    rest = [c for c in out.columns if c != "__t" and c not in keys]
+    return out.groupBy(*keys).agg(*(F.first(c).alias(c) for c in rest), *(F.sum(f"__t.{k}").alias(k) for k in terms))
+
+
+def _weight(x: Column, y: Column, sx: Column, sy: Column, p: float, eps: float) -> Column:
+    return 1 / F.pow(F.greatest(F.sqrt(F.pow(x - sx, 2) + F.pow(y - sy, 2)), F.lit(eps)), F.lit(p))
 
-    The sources are a network's gauges, a few hundred at most: counted, then broadcast.
+
+def idw(targets: DataFrame, sources: DataFrame, keys: list[str], values: dict[str, Column], p: float = 2.0, eps: float = 1.0) -> DataFrame:
+    """targets (keys, x, y, ..) with each value interpolated from the sources (sx, sy and what the values need): sum(w v) / sum(w), w = max(d, eps) ** -p.
+
+    Every target meets every source, as the method has it, but as an array: nothing is exploded, and nothing shuffled up to ``BLOCK`` sources.
     """
-    s = sources.withColumn("__v", value).where("__v is not null").select("sx", "sy", "__v")
-    if s.count() > 20_000:
-        raise ValueError("too many sources for one network")
-    d = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
-    w = 1 / F.pow(F.greatest(d, F.lit(eps)), F.lit(p))
-    each = targets.select(*keys, "x", "y").crossJoin(F.broadcast(s)).withColumn("__w", w)
-    return each.groupBy(*keys).agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("idw"))
+    rows, several = _beside(targets, sources.select("sx", "sy", *(v.alias(k) for k, v in values.items())))
+    terms = {}
+    for k in values:
+        terms[f"__n_{k}"] = lambda s, k=k: _weight(F.col("x"), F.col("y"), s["sx"], s["sy"], p, eps) * s[k]
+        terms[f"__d_{k}"] = lambda s, k=k: F.when(s[k].isNotNull(), _weight(F.col("x"), F.col("y"), s["sx"], s["sy"], p, eps))
+    out = _sums(rows, keys, several, terms)
+    return out.select(*targets.columns, *(F.try_divide(F.col(f"__n_{k}"), F.col(f"__d_{k}")).alias(k) for k in values))
 
 
 def local_bias(cells: DataFrame, gauges: DataFrame) -> DataFrame:
@@ -67,39 +102,43 @@ def local_bias(cells: DataFrame, gauges: DataFrame) -> DataFrame:
     if wet.count() < 3:
         return cells.crossJoin(F.broadcast(mean_field_bias(gauges))).withColumn("merged", F.col("radar") * F.col("factor")).drop("factor")
     log_ratio = F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.log(F.col("val") / F.col("radar"))))
-    field = idw(cells, wet, ["row", "col"], log_ratio)
-    return cells.join(field, ["row", "col"], "left").withColumn("merged", F.col("radar") * F.exp("idw")).drop("idw")
+    return idw(cells, wet, ["row", "col"], {"__bias": log_ratio}).withColumn("merged", F.col("radar") * F.exp("__bias")).drop("__bias")
 
 
 def conditional_merge(cells: DataFrame, gauges: DataFrame) -> DataFrame:
     """cells with ``merged``: radar less interpolated radar at the gauges plus interpolated gauges, in logarithms, not below 0."""
     s = gauges.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "val", "radar")
-    a = idw(cells, s, ["row", "col"], F.log1p("radar")).withColumnRenamed("idw", "at_gauges")
-    b = idw(cells, s, ["row", "col"], F.log1p("val")).withColumnRenamed("idw", "of_gauges")
-    merged = F.expm1(F.log1p("radar") - F.col("at_gauges") + F.col("of_gauges"))
-    return cells.join(a, ["row", "col"], "left").join(b, ["row", "col"], "left").withColumn("merged", F.when(merged < 0, 0.0).otherwise(merged)).drop("at_gauges", "of_gauges")
+    both = idw(cells, s, ["row", "col"], {"__at": F.log1p("radar"), "__of": F.log1p("val")})
+    merged = F.expm1(F.log1p("radar") - F.col("__at") + F.col("__of"))
+    return both.withColumn("merged", F.when(merged < 0, 0.0).otherwise(merged)).drop("__at", "__of")
 
 
 def leave_one_out(gauges: DataFrame) -> DataFrame:
-    """(method, n, rmse, mae, bias, ratio) of raw radar and of the mean-field and local corrections at each held-out gauge (id, x, y, val, radar)."""
+    """(method, n, rmse, mae, bias, ratio) of raw radar (raw), the mean-field (mfb) and local corrections (lbc) and the conditional merge (cm) at each held-out gauge (id, x, y, val, radar)."""
     g = gauges.where("val is not null and radar is not null").select("id", "x", "y", "val", "radar")
-    o = g.select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("val").alias("oval"), F.col("radar").alias("oradar"))
-    d = F.greatest(F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)), F.lit(1.0))
-    wet = (F.col("oval") > 0) & (F.col("oradar") > 0)
-    ratio = F.when(wet, F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.log(F.when(wet, F.col("oval")) / F.when(wet, F.col("oradar"))))))
-    w = 1 / (d * d)
-    per = g.join(F.broadcast(o), F.col("id") != F.col("oid")).groupBy("id", "val", "radar").agg(
-        F.try_divide(F.sum(F.when(F.col("oradar") > 0, F.col("oval"))), F.sum(F.when(F.col("oradar") > 0, F.col("oradar")))).alias("f"),
-        F.count(ratio).alias("n_wet"), F.try_divide(F.sum(w * ratio), F.sum(F.when(ratio.isNotNull(), w))).alias("l"),
-    )
-    factor = F.greatest(F.coalesce("f", F.lit(1.0)), F.lit(0.0))
-    arms = F.array(
-        F.struct(F.lit("raw").alias("method"), F.col("radar").alias("est")),
-        F.struct(F.lit("mfb").alias("method"), (F.col("radar") * factor).alias("est")),
-        F.struct(F.lit("lbc").alias("method"), F.when(F.col("n_wet") >= 3, F.col("radar") * F.exp("l")).otherwise(F.col("radar") * factor).alias("est")),
-    )
+    rows, several = _beside(g, g.select("id", "x", "y", "val", "radar"))
+
+    def w(s: Column) -> Column:
+        return _weight(F.col("x"), F.col("y"), s["x"], s["y"], 2.0, 1.0)
+
+    def ratio(s: Column) -> Column:
+        wet = (s["val"] > 0) & (s["radar"] > 0)
+        return F.when(wet, F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.log(F.when(wet, s["val"]) / F.when(wet, s["radar"])))))
+
+    terms = {
+        "sum_val": lambda s: s["val"], "sum_radar": lambda s: s["radar"], "n_wet": lambda s: F.when((s["val"] > 0) & (s["radar"] > 0), 1), "w": w,
+        "w_wet": lambda s: F.when((s["val"] > 0) & (s["radar"] > 0), w(s)), "l": lambda s: w(s) * ratio(s),
+        "at": lambda s: w(s) * F.log1p(F.greatest(s["radar"], F.lit(0.0))), "of": lambda s: w(s) * F.log1p(F.greatest(s["val"], F.lit(0.0))),
+    }
+    other = {k: (lambda s, f=f: F.when(s["id"] != F.col("id"), f(s))) for k, f in terms.items()}
+    per = _sums(rows, ["id"], several, other).where("w > 0")
+    factor = F.when(F.col("sum_radar") > 0, F.col("sum_val") / F.col("sum_radar")).otherwise(1.0)
+    radar = F.greatest("radar", F.lit(0.0))
+    merged = F.expm1(F.log1p(radar) - F.col("at") / F.col("w") + F.col("of") / F.col("w"))
+    arms = {"raw": F.col("radar"), "mfb": F.col("radar") * factor, "lbc": F.when(F.col("n_wet") >= 3, radar * F.exp(F.try_divide("l", "w_wet"))).otherwise(F.col("radar") * factor), "cm": F.greatest(merged, F.lit(0.0))}
+    long = per.select("val", F.explode(F.array(*(F.struct(F.lit(m).alias("method"), x.alias("est")) for m, x in arms.items()))).alias("a")).select("val", "a.*")
     e = F.col("est") - F.col("val")
-    return per.select("val", F.explode(arms).alias("a")).select("val", "a.*").groupBy("method").agg(
+    return long.groupBy("method").agg(
         F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.try_divide(F.sum("est"), F.sum("val")).alias("ratio"))
 
 

@@ -239,7 +239,7 @@ def _in_metres(df):
     return df.withColumn("x", x).withColumn("y", y)
 
 
-@query("agg_10_leave_one_out", f"WITH {_AT}, g AS (SELECT id, val, radar, {_XY} FROM s WHERE radar IS NOT NULL), p AS (SELECT a.id, any_value(a.val) AS val, any_value(a.radar) AS radar, greatest(coalesce(sum(b.val) FILTER (b.radar > 0) / nullif(sum(b.radar) FILTER (b.radar > 0), 0), 1), 0) AS f, count(*) FILTER (b.val > 0 AND b.radar > 0) AS nw, sum(CASE WHEN b.val > 0 AND b.radar > 0 THEN least(2.5, greatest(-2.5, ln(b.val / b.radar))) / pow(greatest(1, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 2) END) / nullif(sum(CASE WHEN b.val > 0 AND b.radar > 0 THEN 1 / pow(greatest(1, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 2) END), 0) AS l FROM g a JOIN g b ON a.id <> b.id GROUP BY a.id), e AS (SELECT 'raw' AS method, val, radar AS est FROM p UNION ALL SELECT 'mfb', val, radar * f FROM p UNION ALL SELECT 'lbc', val, CASE WHEN nw >= 3 THEN radar * exp(l) ELSE radar * f END FROM p) SELECT method, count(*) AS n, round(sqrt(avg(pow(est - val, 2))), 6) AS rmse, round(avg(abs(est - val)), 6) AS mae, round(avg(est - val), 6) AS bias, round(sum(est) / nullif(sum(val), 0), 6) AS ratio FROM e GROUP BY 1")
+@query("agg_10_leave_one_out", f"WITH {_AT}, g AS (SELECT id, val, radar, {_XY} FROM s WHERE radar IS NOT NULL AND val IS NOT NULL), o AS (SELECT a.id, a.val, a.radar, b.val AS v, b.radar AS r, 1 / pow(greatest(1, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 2) AS w, b.val > 0 AND b.radar > 0 AS wet FROM g a JOIN g b ON a.id <> b.id), p AS (SELECT id, any_value(val) AS val, any_value(radar) AS radar, CASE WHEN sum(r) > 0 THEN sum(v) / sum(r) ELSE 1 END AS f, count(*) FILTER (wet) AS nw, sum(CASE WHEN wet THEN least(2.5, greatest(-2.5, ln(v / r))) * w END) / nullif(sum(CASE WHEN wet THEN w END), 0) AS l, sum(w * ln(1 + greatest(r, 0))) / sum(w) AS lr, sum(w * ln(1 + greatest(v, 0))) / sum(w) AS lv FROM o GROUP BY id), e AS (SELECT 'raw' AS method, val, radar AS est FROM p UNION ALL SELECT 'mfb', val, radar * f FROM p UNION ALL SELECT 'lbc', val, CASE WHEN nw >= 3 THEN radar * exp(l) ELSE radar * f END FROM p UNION ALL SELECT 'cm', val, greatest(exp(ln(1 + greatest(radar, 0)) - lr + lv) - 1, 0) FROM p) SELECT method, count(*) AS n, round(sqrt(avg(pow(est - val, 2))), 6) AS rmse, round(avg(abs(est - val)), 6) AS mae, round(avg(est - val), 6) AS bias, round(sum(est) / nullif(sum(val), 0), 6) AS ratio FROM e GROUP BY 1")
 def _(v):
     return skill.leave_one_out(_in_metres(_sampled(v))).select("method", "n", *(r6(c).alias(c) for c in ("rmse", "mae", "bias", "ratio")))
 
@@ -356,18 +356,16 @@ def _(v):
     return s.select(*(r6(c).alias(c) if c in rounded else c for c in s.columns))
 
 
-@query("jon_09_nearest_site", f"WITH d AS (SELECT p.id, s.id AS sid, {_HAV.format(a='p.lat', b='s.lat', c='p.lon', d='s.lon')} AS km FROM v_points p, v_points s WHERE s.id <= 9) SELECT id, arg_min(sid, (km, sid)) AS sid, round(min(km), 6) AS km FROM d GROUP BY 1")
+@query("jon_09_nearest_site", f"WITH d AS (SELECT p.id, s.id AS sid, {_HAV.format(a='p.lat', b='s.lat', c='p.lon', d='s.lon')} AS km FROM v_points p, v_radars s) SELECT id, arg_min(sid, (km, sid)) AS sid, round(min(km), 6) AS km FROM d GROUP BY 1")
 def _(v):
-    p = v("v_points")
-    sites = p.where("id <= 9").select(F.col("id").alias("sid"), F.col("lon").alias("slon"), F.col("lat").alias("slat"))
-    return catalog.nearest_site(p.select("id", "lon", "lat"), sites, geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).withColumn("km", r6("km"))
+    sites = v("v_radars").select(F.col("id").alias("sid"), F.col("lon").alias("slon"), F.col("lat").alias("slat"))
+    return catalog.nearest_site(v("v_points").select("id", "lon", "lat"), sites, geo.haversine_km(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).withColumn("km", r6("km"))
 
 
-@query("jon_12_nearest_gate", "WITH d AS (SELECT a.id AS tid, b.id AS sid, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM v_mines a, v_mines b WHERE a.id % 7 = 0 AND b.id % 7 <> 0), m AS (SELECT tid, arg_min(sid, (d, sid)) AS sid, min(d) AS d FROM d WHERE d <= 150 GROUP BY 1) SELECT a.id AS tid, m.sid, round(m.d, 6) AS d FROM v_mines a LEFT JOIN m ON m.tid = a.id WHERE a.id % 7 = 0")
+@query("jon_12_nearest_gate", "WITH t AS (SELECT row * 32 + col AS tid, col * 531.0 + 3 AS x, row * 404.0 + 7 AS y FROM v_field_b), d AS (SELECT t.tid, b.id AS sid, sqrt(pow(t.x - b.x, 2) + pow(t.y - b.y, 2)) AS d FROM t, v_mines b), m AS (SELECT tid, arg_min(sid, (d, sid)) AS sid, min(d) AS d FROM d WHERE d <= 150 GROUP BY 1) SELECT t.tid, m.sid, round(m.d, 6) AS d FROM t LEFT JOIN m USING (tid)")
 def _(v):
-    m = v("v_mines")
-    t = m.where("id % 7 = 0").select(F.col("id").alias("tid"), "x", "y")
-    s = m.where("id % 7 <> 0").select(F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    t = v("v_field_b").select((F.col("row") * 32 + F.col("col")).alias("tid"), (F.col("col") * 531.0 + 3).alias("x"), (F.col("row") * 404.0 + 7).alias("y"))
+    s = v("v_mines").select(F.col("id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     return grids.nearest_source(t, s, 150.0).select("tid", "sid", r6("d").alias("d"))
 
 
