@@ -69,6 +69,11 @@ def bbox_distance_km(lon: Column, lat: Column, box: tuple[float, float, float, f
     return F.sqrt(dx * dx + dy * dy) * KM_A_DEGREE
 
 
+def cell_km(lat: Column, width: float, height: float) -> Column:
+    """Mean side of a cell of so many degrees at a latitude."""
+    return (width * KM_A_DEGREE * F.cos(F.radians(lat)) + height * KM_A_DEGREE) / 2
+
+
 def local_metres(lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
     import math
 

@@ -134,3 +134,8 @@ def recurrence_interval(intensity: Column, curve: Column) -> Column:
     p, q = F.element_at(curve, at), F.element_at(curve, at + 1)
     slope = F.try_divide(F.log(q["ari"]) - F.log(p["ari"]), F.log(q["i"]) - F.log(p["i"]))
     return F.when(intensity > F.element_at(curve, -1)["i"], float("inf")).when(intensity > 0, F.exp(F.log(p["ari"]) + slope * (F.log(intensity) - F.log(p["i"]))))
+
+
+def valid_class(c: Column) -> Column:
+    """A soil burn severity class from 1 to 4; anything else is no class."""
+    return F.when(c.between(1, 4), c)

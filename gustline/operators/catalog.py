@@ -132,18 +132,49 @@ def safe_names(names: DataFrame) -> DataFrame:
     return names.select("name").distinct().withColumn("stem", stem).withColumn("rn", rn).select("name", F.when(F.col("rn") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.col("rn"))).alias("safe"))
 
 
-def interval_label(years: Column, above: Column) -> Column:
-    """Blank without a value, >1000 above the curve, one decimal from a year on, else two significant digits."""
-    digits = F.when(years >= 0.1, F.format_string("%.2f", years)).otherwise(F.format_string("%.3f", years))
-    return F.when(above, ">1000").when(years.isNull(), "").when(years >= 1, F.format_string("%.1f", years)).otherwise(digits)
-
-
-def cadence_label(minutes: Column) -> Column:
-    return F.when(minutes.isNull(), F.lit(None).cast("string")).when(minutes >= 1440, "daily").when(minutes == 60, "hourly").otherwise(F.concat(F.lit("~"), F.round(minutes).cast("int").cast("string"), F.lit("-min")))
-
-
 def class_table(values: DataFrame, cell_km2: float) -> DataFrame:
     """(class, pixels, area_km2, fraction) of column class, NULL left out."""
     g = values.where("class is not null").groupBy("class").agg(F.count("*").alias("pixels"))
     all_ = g.agg(F.sum("pixels").alias("all"))
     return g.crossJoin(F.broadcast(all_)).select("class", "pixels", (F.col("pixels") * cell_km2).alias("area_km2"), (F.col("pixels") / F.col("all")).alias("fraction"))
+
+
+def named_points(points: DataFrame, order: str) -> DataFrame:
+    """points with a name each: VG and the point's place in ``order`` where it has none."""
+    rn = F.row_number().over(Window.orderBy(order))  # the points that a user asks for
+    return points.withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat(F.lit("VG"), rn)))
+
+
+def radar_location(wanted: DataFrame, sites: DataFrame, key: str) -> DataFrame:
+    """wanted with the site of its radar; one that is unknown raises when the rows are read."""
+    s = sites.withColumn("__known", F.lit(True))
+    j = wanted.join(s, key, "left")
+    known = F.when(F.col("__known"), True).otherwise(F.raise_error(F.concat(F.lit("unknown radar "), F.col(key).cast("string"))).cast("boolean"))
+    return j.where(known).drop("__known")
+
+
+def top_values(rows: DataFrame, value: str, key: str, most: int) -> DataFrame:
+    """The ``most`` largest values, ties by key."""
+    return rows.orderBy(F.desc_nulls_last(value), key).limit(most)
+
+
+def panels(sites: DataFrame, flow: DataFrame, min_peak: float | None = None) -> DataFrame:
+    """sites with their peak, the highest first and those without data last; with min_peak lower ones are left out."""
+    p = sites.join(flow.groupBy("site").agg(F.max("cfs").alias("peak")), "site", "left")
+    p = p if min_peak is None else p.where(F.col("peak").isNull() | (F.col("peak") >= min_peak))
+    return p.orderBy(F.desc_nulls_last("peak"), "site")
+
+
+def wettest(sites: DataFrame, gauges: DataFrame, key: str, gauge: str, value: str) -> DataFrame:
+    """sites with the gauge of the largest value beside them, the first on ties."""
+    best = gauges.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(gauge, F.struct(-F.col(value), F.col(gauge))).alias(gauge))
+    return sites.join(best, key, "left")
+
+
+def named_only(features: DataFrame) -> DataFrame:
+    return features.where(F.coalesce(F.trim("name"), F.lit("")) != "")
+
+
+def of_fires(scenes: DataFrame, names: list[str]) -> DataFrame:
+    """Scenes of these fires, whatever the case."""
+    return scenes.where(F.lower("fire").isin([n.lower() for n in names]))

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Names of fields that are classes or times and must never be smoothed.
-NEVER_SMOOTH = ("tpk", "class", "relmode", "severity", "virga")
+from gustline.functions import geo, physics
+from gustline.functions.labels import may_smooth
+
 METHODS = ("gaussian", "uniform", "median", "idw")
 
 
@@ -35,12 +36,15 @@ def kernel(method: str, radius_km: float, cell_km: float, size: int) -> list[tup
     return out
 
 
-def smooth(cells: DataFrame, method: str, radius_km: float, cell_km: float, size: int, largest: int = 4096) -> DataFrame:
+def smooth(cells: DataFrame, method: str, radius_km: float, cell_km: float, size: int, largest: int = 4096, field: str = "") -> DataFrame:
     """cells (row, col, v) with ``smooth``: the weighted mean (or median) of the cells with data under the kernel.
 
     A radius of 0 changes nothing. Cells without data get none from a mean
     without any data near; the kernel, at most ``largest`` offsets, is broadcast.
+    field: the name of what v holds; classes and times are refused.
     """
+    if not may_smooth(field):
+        raise ValueError(f"{field!r} can't be smoothed")
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     if radius_km <= 0:
@@ -71,6 +75,39 @@ def regrid_bilinear(cells: DataFrame, targets: DataFrame) -> DataFrame:
     return j.groupBy("row", "col").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum(F.when(F.col("v").isNotNull(), F.col("w")))).alias("v"))
 
 
+def regrid_near(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (row, col, fr, fc) with ``v`` of the nearest source cell, halves upwards; NULL off the grid. For classes, which have no mean."""
+    s = cells.select(F.col("row").alias("__r"), F.col("col").alias("__c"), "v")
+    t = targets.withColumn("__r", F.floor(F.col("fr") + 0.5).cast("int")).withColumn("__c", F.floor(F.col("fc") + 0.5).cast("int"))
+    return t.join(s, ["__r", "__c"], "left").drop("__r", "__c")
+
+
+def mosaic(*scenes: DataFrame) -> DataFrame:
+    """(row, col, v): the largest value of any scene (row, col, v) at each cell that one has; NULL where none has a value."""
+    out = scenes[0].select("row", "col", "v")
+    for s in scenes[1:]:
+        out = out.unionByName(s.select("row", "col", "v"))
+    return out.groupBy("row", "col").agg(F.max("v").alias("v"))
+
+
+def stretch(cells: DataFrame, least: float = 10.0, by: str | None = None) -> DataFrame:
+    """(vmin, vmax) for display: the 2nd percentile and the 99th, ``least`` at least, of the values."""
+    p = cells.where("v is not null")
+    agg = [F.percentile("v", F.lit(0.02)).alias("vmin"), F.greatest(F.percentile("v", F.lit(0.99)), F.lit(least)).alias("vmax")]
+    return p.groupBy(by).agg(*agg) if by else p.agg(*agg)
+
+
+def virga_mask(mosaic_: DataFrame, support: DataFrame, targets: DataFrame, radar: tuple[float, float] | None = None, exclude_km: float = 0.0, least: float = 10.0, ratio: float = 3.0) -> DataFrame:
+    """targets (row, col, fr, fc, lon, lat: cells of the support grid) with ``class`` and ``ratio``: the mosaic is brought onto them bilinearly; cells nearer than exclude_km to the radar (lon, lat) have no class."""
+    m = regrid_bilinear(mosaic_, targets).withColumnRenamed("v", "mosaic")
+    j = targets.join(m, ["row", "col"], "left").join(support.select("row", "col", F.col("v").alias("support")), ["row", "col"], "left")
+    kind = physics.virga_class(F.col("mosaic"), F.col("support"), least, ratio)
+    if radar and exclude_km > 0:
+        near = geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(radar[1]), F.lit(radar[0])) < exclude_km
+        kind = F.when(near, physics.NO_DATA).otherwise(kind)
+    return j.select("row", "col", "mosaic", "support", kind.alias("class"), physics.support_ratio(F.col("mosaic"), F.col("support")).alias("ratio"))
+
+
 def gradient(cells: DataFrame, cell_m: float) -> DataFrame:
     """cells with gy and gx: central differences, one-sided at the edges."""
 
@@ -123,3 +160,8 @@ def nearest_source(targets: DataFrame, sources: DataFrame, tolerance: float) ->
     d = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
     best = t.join(s, ["bx", "by"]).withColumn("d", d).where(F.col("d") <= tolerance).groupBy("tid").agg(F.min(F.struct("d", "sid")).alias("m"))
     return targets.join(best, "tid", "left").select("tid", "x", "y", F.col("m.sid").alias("sid"), F.col("m.d").alias("d"))
+
+
+def wet_only(cells: DataFrame, least: float) -> DataFrame:
+    """cells with v NULL where it is under ``least``: what a map leaves blank."""
+    return cells.withColumn("v", F.when(F.col("v") >= least, F.col("v")))

@@ -24,7 +24,7 @@ VIEWS = {
     "v_field_b": "SELECT CAST(l_partkey % 32 AS INT) AS row, CAST(l_suppkey % 32 AS INT) AS col, AVG(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey % 32, l_suppkey % 32",
     # a 32 x 32 grid of 0.01 degree from 119.75 W, 39.60 N, and points in and around it
     "v_points": "SELECT s_suppkey AS id, -119.75 + ((s_suppkey * 7919) % 1000) * 0.00033 + 0.000011 AS lon, 39.60 - ((s_suppkey * 104729) % 1000) * 0.00033 - 0.000013 AS lat, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal / 100 END AS val, CAST(s_suppkey % 70 AS DOUBLE) AS report_min FROM supplier",
-    "v_radars": "SELECT n_nationkey AS id, -119.80 + (n_nationkey * 37 % 25) * 0.017 AS lon, 39.65 - (n_nationkey * 11 % 25) * 0.017 AS lat, 1400 + n_nationkey * 10.0 AS elev_m FROM nation",
+    "v_radars": "SELECT n_nationkey AS id, CAST(-119.80 + (n_nationkey * 37 % 25) * 0.017 AS DOUBLE) AS lon, CAST(39.65 - (n_nationkey * 11 % 25) * 0.017 AS DOUBLE) AS lat, CAST(1400 + n_nationkey * 10 AS DOUBLE) AS elev_m FROM nation",
     "v_flow": "SELECT o_custkey % 20 AS site, o_orderkey AS seq, o_orderdate AS time, MAX(o_totalprice / 1000) AS cfs, MAX(o_totalprice / 50000) AS stage FROM orders GROUP BY 1, 2, 3",
     "v_sites": "SELECT s_suppkey - 1 AS site, s_name AS name, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey * 2.5 END AS drain_km2 FROM supplier WHERE s_suppkey <= 25",
     "v_scenes": """SELECT CONCAT('Fire-', CAST(o_custkey % 40 AS VARCHAR(9)), CASE WHEN o_custkey % 3 = 0 THEN '' ELSE '-NV' END, CASE WHEN o_custkey % 4 = 0 THEN '-prelim' ELSE '' END,

@@ -9,9 +9,9 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from gustline.functions import physics
-from gustline.operators import catalog, gauges, grids, radar, skill
-from gustline.plans import storm
+from gustline.functions import labels, physics
+from gustline.operators import catalog, climate, gauges, grids, radar, skill, virtual
+from gustline.plans import events
 
 
 @pytest.fixture(scope="module")
@@ -33,11 +33,11 @@ def rows_of(names, rows):
     return names, sorted(tuple(plain(r[n]) for n in names) for r in rows)
 
 
-@pytest.mark.parametrize("name", [n for n in storm.SQL if n != "arr_09_local_bias"])  # three wet gauges at least: not at this size
+@pytest.mark.parametrize("name", [n for n in events.SQL if n != "arr_09_local_bias"])  # three wet gauges at least: not at this size
 def test_same_as_sql(spark, duck, name):
-    table = storm.QUERIES[name](spark, SF).toArrow()
+    table = events.QUERIES[name](spark, SF).toArrow()
     ours = rows_of(table.column_names, table.to_pylist())
-    cur = duck.execute(storm.SQL[name])
+    cur = duck.execute(events.SQL[name])
     columns = [d[0] for d in cur.description]
     theirs = rows_of(columns, [dict(zip(columns, r)) for r in cur.fetchall()])
     assert ours == theirs
@@ -97,9 +97,9 @@ def test_severity_and_recurrence(spark):
 
 
 def test_best_scene_names(spark):
-    names = ["Hidden-Valley-NV-dNBR_20260814_235959.tif", "Alder-Springs-OR-prelim-dNBR_20250701_000000.tif", "readme.txt"]
+    names = ["Stony-Creek-NV-dNBR_20240809_235959.tif", "Two-Pines-OR-prelim-dNBR_20230702_000000.tif", "readme.txt"]
     got = spark.createDataFrame([(n,) for n in names], "f string").select(catalog.parse_scene(F.col("f")).alias("p")).collect()
-    assert [(r.p.fire, r.p.state, str(r.p.date)) if r.p else None for r in got] == [("Hidden-Valley", "NV", "2026-08-14"), ("Alder-Springs", "OR", "2025-07-01"), None]
+    assert [(r.p.fire, r.p.state, str(r.p.date)) if r.p else None for r in got] == [("Stony-Creek", "NV", "2024-08-09"), ("Two-Pines", "OR", "2023-07-02"), None]
 
 
 def test_greedy_low_sweeps(spark):
@@ -124,3 +124,81 @@ def test_smoothing_keeps_constants(spark):
 def test_flat_shade_is_the_sun_height(spark):
     cells = spark.createDataFrame([(r, c, 100.0) for r in range(4) for c in range(4)], "row int, col int, v double")
     assert all(r["shade"] == pytest.approx(math.sin(math.radians(45))) for r in grids.shade(cells, 10.0).collect())
+
+
+def test_peaks_at_reports_are_those_of_the_minutes(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for station, n in ((1, 1), (2, 2), (3, 40), (4, 200), (5, 3)):
+        s = r.randint(0, 1000)
+        for _ in range(n):
+            rows.append((station, s, r.choice([0.0, 0.0, 0.3, 2.0, -1.0])))
+            s += r.choice([7, 60, 61, 290, 300, 900, 4000]) if station < 5 else 280
+    obs = spark.createDataFrame(rows, "station_id int, s long, precip double").select("station_id", F.timestamp_seconds("s").alias("ts"), "precip")
+    slow = {x["station_id"]: x for x in gauges.peaks(gauges.per_minute(obs)).collect()}
+    fast = {x["station_id"]: x for x in gauges.report_peaks(obs).collect()}
+    assert slow.keys() == fast.keys()
+    for k in slow:
+        for c in ("n_min", "i5", "i15", "i30", "i60"):
+            assert fast[k][c] == (None if slow[k][c] is None else pytest.approx(slow[k][c], abs=1e-9)), (k, c)
+
+
+def test_few_wet_gauges_take_the_mean_field_factor(spark):
+    cells = spark.createDataFrame([(0, 0, 0.0, 0.0, 40.0)], "row int, col int, x double, y double, radar double")
+    g = spark.createDataFrame([(0.0, 1.0, 10.0, 40.0), (5.0, 1.0, 10.0, 40.0)], "x double, y double, val double, radar double")
+    assert skill.local_bias(cells, g).first()["merged"] == 10.0
+
+
+def test_interpolation_in_several_arrays(spark, monkeypatch):
+    t = spark.createDataFrame([(i, float(i), 0.0) for i in range(5)], "id int, x double, y double")
+    s = spark.createDataFrame([(float(i * 7 % 11), 3.0, float(i)) for i in range(30)], "sx double, sy double, val double")
+    one = sorted(skill.idw(t, s, ["id"], {"v": F.col("val")}).collect())
+    monkeypatch.setattr(skill, "BLOCK", 8)
+    several = sorted(skill.idw(t, s, ["id"], {"v": F.col("val")}).collect())
+    assert [x.id for x in one] == [x.id for x in several] and all(a.v == pytest.approx(b.v) for a, b in zip(one, several))
+
+
+def test_an_hour_is_dry_or_the_best_stands(spark):
+    h = spark.sql("select t, double(value) value from values (1, 0.5), (2, 1.5), (3, null) v(t, value)")
+    assert [tuple(x) for x in radar.wet_hours(h, h.select("t")).collect()] == [(2, 1.5)]
+
+
+def test_labels(spark):
+    row = spark.range(1).select(
+        labels.interval_label(F.lit(None).cast("double"), F.lit(False)).alias("none"), labels.interval_label(F.lit(1.0), F.lit(True)).alias("above"),
+        *(labels.interval_label(F.lit(x), F.lit(False)).alias(str(i)) for i, x in enumerate((12.34, 0.5, 0.256, 0.0123, 0.0000065))),
+        labels.shorten(F.lit("Upper Branch Of The Long River")).alias("name"), labels.shorten(F.lit("A" * 30)).alias("word"),
+        labels.colour(F.lit(float("nan")), [1.0], ["#a", "#b"]).alias("nan"), labels.parse_date(F.lit("2024-13-45")).alias("bad"),
+    ).first()
+    assert list(row) == ["", ">1000", "12.3", "0.5", "0.26", "0.012", "6.5e-06", "Upper Branch Of The Long…", "A" * 25 + "…", None, None]
+    assert labels.class_labels([0.1, 2], "mm") == ["< 0.1 mm", "0.1 - 2 mm", ">= 2 mm"]
+    with pytest.raises(ValueError):
+        labels.colour(F.lit(1.0), [1.0], ["#a"])
+    with pytest.raises(ValueError):
+        grids.smooth(spark.createDataFrame([(0, 0, 1.0)], "row int, col int, v double"), "median", 1.0, 1.0, 9, field="burn_class")
+
+
+def test_minutes_of_a_virtual_gauge(spark):
+    s = spark.sql("select * from values (1, 0L, double(null)), (1, 120L, 6d), (1, 240L, double(null)), (1, 360L, 12d) v(key, s, rate)")
+    span = spark.sql("select 1 key, 0L start, 480L end")
+    assert [x.rate for x in virtual.at_minutes(s, "key", span).orderBy("k").collect()] == [None, None, 6.0, 7.5, 9.0, 10.5, 12.0, 12.0, 12.0]
+
+
+def test_a_stack_needs_a_minute_more(spark):
+    rows = lambda n: spark.range(n).select(F.lit(1).alias("cell"), (F.col("id") * 60).alias("s"), F.lit(60.0).alias("rate"))
+    assert virtual.stack_peaks(rows(16)).first()["i15"] is None and virtual.stack_peaks(rows(17)).first()["i15"] == pytest.approx(60)
+    assert virtual.stack_peaks(rows(30)).first()["i30"] is None and virtual.stack_peaks(rows(31)).first()["i30"] == pytest.approx(60)
+
+
+def test_own_peak_time_comes_first(spark):
+    g = spark.sql("select * from values ('a', timestamp_ntz'2024-01-01 00:00:00'), ('b', cast(null as timestamp_ntz)) v(name, i15_peak_time)")
+    t = spark.sql("select * from values ('a', timestamp_ntz'2024-02-02 00:00:00'), ('b', timestamp_ntz'2024-02-02 00:00:00') v(name, t)")
+    assert [x.i15_peak_time.month for x in climate.peak_time(g, t).orderBy("name").collect()] == [1, 2]
+
+
+def test_an_unknown_radar_is_an_error(spark):
+    w, s = spark.sql("select 1 id, 'X' radar"), spark.sql("select 'Y' radar, 1.0 lat")
+    with pytest.raises(Exception, match="unknown radar"):
+        catalog.radar_location(w, s, "radar").collect()
