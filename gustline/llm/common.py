@@ -132,8 +132,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     return id_and_text(docs).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label")
 
 
-def _give_back() -> None:
-    """Return what a task has freed to the system: a worker waits for its next task with little more than its modules."""
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker waits for its next task with little more than its modules; so does the driver after numerical work."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -144,7 +144,7 @@ def in_arrow(df: DataFrame, kernel: Callable, schema: str | StructType) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from kernel(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

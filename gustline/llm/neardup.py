@@ -161,19 +161,22 @@ def _check_kernel(percent: int, m: int):
 HOT_KEYS = 20_000
 
 
-def _hot(counts: DataFrame, key: str, total: int, least: int) -> DataFrame:
-    """(key, __salts) of the keys with over ``least`` rows, or over a ``HOT_KEYS``-th of the total; counts: (key, n)."""
+def _hot(counts: DataFrame, key: str, total: int, least: int) -> DataFrame | None:
+    """(key, __salts) of the keys with over ``least`` rows, or over a ``HOT_KEYS``-th of the total; None if there is none. counts: (key, n)."""
     share = max(least, total // HOT_KEYS)
-    return materialize(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("__salts")), "hot")
+    hot = materialize(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("__salts")).coalesce(1), "hot")
+    return hot if hot.take(1) else None
 
 
-def _hot_in(rows: DataFrame, key: str, least: int) -> DataFrame:
+def _hot_in(rows: DataFrame, key: str, least: int) -> DataFrame | None:
     """_hot() of a table that is written already."""
     return _hot(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, rows.count(), least)
 
 
-def _meet(rows: DataFrame, side: DataFrame, key: str, spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def _meet(rows: DataFrame, side: DataFrame, key: str, spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """rows joined with ``side``, which has one row a key at most: rows of a hot key are dealt by a hash of ``spread`` over its salts, and each salt gets the key's row of ``side``."""
+    if hot is None:
+        return rows.join(side, key, how)
     hot = F.broadcast(hot)  # HOT_KEYS rows at most
     salts = F.coalesce("__salts", F.lit(1))
     left = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(F.lit(3), spread), salts).cast("int")).drop("__salts")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gustline.llm.common import by_text, held_out, id_and_text, in_arrow, in_bytes, labelled, ship_package
+from gustline.llm.common import by_text, give_back, held_out, id_and_text, in_arrow, in_bytes, labelled, ship_package
 from gustline.llm.quality_rules import measure
 
 N_FEATURES = 16
@@ -157,7 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> Model:
     order = np.lexsort(positive.T)
     positive = positive[order]  # whatever order the rows came in
     unlabelled = unlabelled[np.lexsort(unlabelled.T)]
-    return fit_pu(positive, unlabelled, prior=estimate_prior(positive, unlabelled))
+    model = fit_pu(positive, unlabelled, prior=estimate_prior(positive, unlabelled))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: bool = False) -> DataFrame:
