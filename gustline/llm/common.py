@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -139,6 +140,13 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Collect the driver's garbage, which also tells executors to drop the broadcasts and shuffle files that nothing refers to any more."""
+    give_back()
+    gc.collect()  # plans that only dead Python objects hold
+    spark.sparkContext._jvm.System.gc()
+
+
 def in_arrow(df: DataFrame, kernel: Callable, schema: str | StructType) -> DataFrame:
     """df.mapInArrow(kernel, schema) by workers that give back their memory after each task."""
 

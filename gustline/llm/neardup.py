@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import by_text, id_and_text, in_arrow, materialize
+from gustline.llm.common import by_text, id_and_text, in_arrow, materialize, settle
 
 _SIG = "doc_id long, n_shingles long, fp string, sig binary"
 _SET = "id long, n long, sig binary, shingles binary"
@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     over several tasks.
     """
     m = bands * rows
+    settle(docs.sparkSession)
     docs = id_and_text(docs)
     sigs = materialize(docs.transform(in_arrow, _sign_kernel(shingle, m), _SIG), "signatures")
     named = sigs.where("fp is not null and doc_id is not null")
@@ -269,8 +270,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
     sets = materialize(docs.join(wanted, "doc_id", "left_semi").transform(in_arrow, _set_kernel(shingle, m), _SET), "sets")
     links = _Links(sets, percent, m, least)
+    settle(docs.sparkSession)
     links.check(shared.where(f"band < {first} and id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
 
+    settle(docs.sparkSession)
     # buckets that still hold several components: pairs in small ones, the best-linked member as pivot in others
     degree = links.edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     open_ = _several(links.of(shared.select("id", "key", "n")), least)
