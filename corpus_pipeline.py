@@ -62,7 +62,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and rows without one are packed each on their own; other columns are left
     out; an empty table gives no rows.
     """
-    return pack(docs, default_tokenizer(), most=1024, with_ids=False)
+    return pack(docs, default_tokenizer(), most=1024, with_ids=False, keep=100_000)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]

@@ -42,7 +42,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles; remembers the hashes of recent words."""
 
-    def __init__(self, size: int, keep: int = 300_000):
+    def __init__(self, size: int, keep: int = 100_000):
         self.size, self.keep, self.seen = size, keep, {}
 
     def __call__(self, text: str) -> np.ndarray:
