@@ -222,7 +222,9 @@ class _Links:
         rows = rows.select("a", "b", "na", "nb", "ga", "gb", "sa", "sb")
         found = materialize(rows.transform(in_arrow, _check_kernel(self.percent, self.m), "a long, b long"), "links")
         self.edges = found if self.edges is None else self.edges.union(found)
+        settle(pairs.sparkSession)
         self.components = connected(self.edges, least=self.least)
+        settle(pairs.sparkSession)
 
     def of(self, rows: DataFrame) -> DataFrame:
         """rows with an id, and the component of that id."""
@@ -273,7 +275,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     settle(docs.sparkSession)
     links.check(shared.where(f"band < {first} and id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
 
-    settle(docs.sparkSession)
     # buckets that still hold several components: pairs in small ones, the best-linked member as pivot in others
     degree = links.edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     open_ = _several(links.of(shared.select("id", "key", "n")), least)
