@@ -132,8 +132,8 @@ def recurrence_interval(intensity: Column, curve: Column) -> Column:
     n = F.size(curve)
     at = F.greatest(F.lit(1), F.least(n - 1, F.aggregate(curve, F.lit(0), lambda a, p: a + F.when(p["i"] <= intensity, 1).otherwise(0))))
     p, q = F.element_at(curve, at), F.element_at(curve, at + 1)
-    slope = F.try_divide(F.log(q["ari"]) - F.log(p["ari"]), F.log(q["i"]) - F.log(p["i"]))
-    return F.when(intensity > F.element_at(curve, -1)["i"], float("inf")).when(intensity > 0, F.exp(F.log(p["ari"]) + slope * (F.log(intensity) - F.log(p["i"]))))
+    rise = F.try_divide((F.log(intensity) - F.log(p["i"])) * (F.log(q["ari"]) - F.log(p["ari"])), F.log(q["i"]) - F.log(p["i"]))
+    return F.when(intensity > F.element_at(curve, -1)["i"], float("inf")).when(intensity > 0, F.exp(F.log(p["ari"]) + rise))
 
 
 def valid_class(c: Column) -> Column:

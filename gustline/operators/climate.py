@@ -19,7 +19,7 @@ def curves_of(table: DataFrame) -> DataFrame:
 
 
 def recurrence_table(gauges: DataFrame, curves: DataFrame, durations: tuple[int, ...] = (15, 30, 60), box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Wet gauges (point, lon, lat, i15, ..; i15 over 0), wettest first, with clim1yr, anom, years and label for each duration; with a box their distance to it and whether they lie in it.
+    """Wet gauges (point, lon, lat, i15, ..; i15 over 0), wettest first and equal ones by their other columns in order, with clim1yr, anom, years and label for each duration; with a box their distance to it and whether they lie in it.
 
     years is NULL without a curve and above its top, where the label says so.
     """
@@ -36,7 +36,7 @@ def recurrence_table(gauges: DataFrame, curves: DataFrame, durations: tuple[int,
         out = out.join(c, "point", "left").withColumn(f"anom_i{d}", F.when(F.col(f"clim1yr_i{d}") > 0, F.col(f"i{d}") / F.col(f"clim1yr_i{d}")))
         above = F.coalesce(years == float("inf"), F.lit(False))
         out = out.withColumn(f"years_i{d}", F.when(~above, years)).withColumn(f"label_i{d}", interval_label(F.when(~above, years), above)).drop("__c")
-    return out.orderBy(F.desc_nulls_last("i15"))
+    return out.orderBy(F.desc_nulls_last("i15"), *gauges.columns)
 
 
 def peak_time(gauges: DataFrame, times: DataFrame) -> DataFrame:

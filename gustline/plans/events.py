@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gustline.functions import geo, labels, physics
 from gustline.operators import catalog, climate, gauges, grids, radar, skill, virtual
-from gustline.plans.storm import _AT, _HAV, _RI, BOX, GRID, QUERIES, SQL, _in_metres, _sampled, _scalar, query, r6
+from gustline.plans.storm import _AT, _HAV, _RI, BOX, GRID, QUERIES, SQL, _in_metres, _sampled, _scalar, query, r6, scaled_r6
 from gustline.sources import parsers
 
 __all__ = ["QUERIES", "SQL"]
@@ -238,7 +238,7 @@ _BOX_KM = f"sqrt(pow(greatest({BOX[0]} - lon, 0, lon - ({BOX[2]})) * 111.32 * co
 def _(v):
     g = v("v_points").select("id", "lon", "lat", (F.col("id") % 25).cast("int").alias("point"), F.col("val").alias("i15"), (F.col("val") * 0.5).alias("i60"))
     t = climate.recurrence_table(g, _curves(v), (15, 60), BOX)
-    return t.select("id", "dist_to_aoi_km", "in_aoi", *(r6(c).alias(c) for c in ("i15", "clim1yr_i15", "anom_i15", "years_i15", "anom_i60", "years_i60")), "label_i15")
+    return t.select("id", "dist_to_aoi_km", "in_aoi", *(scaled_r6(c).alias(c) for c in ("i15", "clim1yr_i15", "anom_i15", "years_i15", "anom_i60", "years_i60")), "label_i15")
 
 
 _A_AT = "s AS (SELECT p.*, f.v AS radar, q.v AS rqi FROM v_points p LEFT JOIN v_field_b f ON f.row = floor((lat - 39.60) / -0.01) AND f.col = floor((lon + 119.75) / 0.01) LEFT JOIN v_field_a q ON q.row = floor((lat - 39.60) / -0.01) AND q.col = floor((lon + 119.75) / 0.01))"

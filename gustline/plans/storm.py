@@ -33,6 +33,12 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def scaled_r6(c: Column | str) -> Column:
+    """Six places as DuckDB rounds a double: scaled, to a whole number, scaled back. r6 rounds the decimal instead, which differs where the seventh place is a 5 that the double falls just short of."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * 1e6) / 1e6
+
+
 _WIN = "CASE WHEN count(*) OVER w{n} = {n} THEN {e} END"
 _TRAIL = (
     "a AS (SELECT ts, cell, greatest(coalesce(rate, 0), 0) * 2 / 60 AS a2, epoch(ts) AS s FROM v_scans), "

@@ -1,7 +1,8 @@
 """Views that give the driver's tables the shape of storm data.
 
 Each is one SQL text that Spark and DuckDB read alike, but for the few places
-where the dialects differ: those are written {minutes(n)}, {days(d)} and {hour(t)}.
+where the dialects differ: those are written {minutes(n)}, {days(d)}, {hour(t)} and
+{real(x)}, a literal by which one divides as doubles, which Spark would take as a decimal.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ VIEWS = {
     "v_mines": """SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN 'Mine Dump' WHEN 1 THEN 'Adit' WHEN 2 THEN 'Tailings - Pond' WHEN 3 THEN 'Prospect Pit' WHEN 4 THEN ' gravel pit ' WHEN 5 THEN 'Quarry - Rock'
         WHEN 6 THEN 'Mill Site' WHEN 7 THEN NULL WHEN 8 THEN 'Mine Shaft' WHEN 9 THEN 'Something' WHEN 10 THEN 'Trench' ELSE 'Strip Mine' END AS ftr_type,
         (p_partkey * 7919) % 9973 * 1.7 AS x, (p_partkey * 104729) % 9973 * 1.3 AS y FROM part""",
-    "v_pf": """SELECT n_nationkey AS point, a.ari AS ari, 18 * POWER(a.ari, 0.27) * (1 + n_nationkey / 50.0) AS i FROM nation CROSS JOIN
+    "v_pf": """SELECT n_nationkey AS point, a.ari AS ari, 18 * POWER(a.ari, 0.27) * (1 + n_nationkey / {real(50.0)}) AS i FROM nation CROSS JOIN
         (SELECT CAST(1 AS DOUBLE) AS ari UNION ALL SELECT 2.0 UNION ALL SELECT 5.0 UNION ALL SELECT 10.0 UNION ALL SELECT 25.0 UNION ALL SELECT 50.0 UNION ALL SELECT 100.0 UNION ALL SELECT 200.0 UNION ALL SELECT 500.0 UNION ALL SELECT 1000.0) a""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
-_SPARK = {"minutes": lambda x: f"timestampadd(MINUTE, ({x}) * 2, TIMESTAMP_NTZ'2024-01-01 00:00:00')", "days": lambda x: f"datediff(CAST({x} AS DATE), DATE'1995-01-01')", "hour": lambda x: f"CAST(DATE_TRUNC('hour', {x}) AS TIMESTAMP_NTZ)"}
-_DUCKDB = {"minutes": lambda x: f"TIMESTAMP '2024-01-01' + to_minutes(CAST(({x}) * 2 AS BIGINT))", "days": lambda x: f"date_diff('day', DATE '1995-01-01', CAST({x} AS DATE))", "hour": lambda x: f"date_trunc('hour', {x})"}
+_SPARK = {"minutes": lambda x: f"timestampadd(MINUTE, ({x}) * 2, TIMESTAMP_NTZ'2024-01-01 00:00:00')", "days": lambda x: f"datediff(CAST({x} AS DATE), DATE'1995-01-01')", "hour": lambda x: f"CAST(DATE_TRUNC('hour', {x}) AS TIMESTAMP_NTZ)", "real": lambda x: f"{x}D"}
+_DUCKDB = {"minutes": lambda x: f"TIMESTAMP '2024-01-01' + to_minutes(CAST(({x}) * 2 AS BIGINT))", "days": lambda x: f"date_diff('day', DATE '1995-01-01', CAST({x} AS DATE))", "hour": lambda x: f"date_trunc('hour', {x})", "real": lambda x: x}
 
 
 def _written(sql: str, dialect: dict) -> str:

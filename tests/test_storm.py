@@ -202,3 +202,16 @@ def test_an_unknown_radar_is_an_error(spark):
     w, s = spark.sql("select 1 id, 'X' radar"), spark.sql("select 'Y' radar, 1.0 lat")
     with pytest.raises(Exception, match="unknown radar"):
         catalog.radar_location(w, s, "radar").collect()
+
+
+def test_recurrence_table_to_the_last_place_and_order(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"copy (select k::bigint as s_suppkey, b::double as s_acctbal from (values (10268, 5388.66), (10043, 5749.74), (35293, 5388.66), (268, 5388.66), (49732, 9121.18)) v(k, b)) to '{tmp_path}/supplier.parquet'")
+    c.execute(f"copy (select * from '{SF}/nation.parquet') to '{tmp_path}/nation.parquet'")
+    for t in ("supplier", "nation"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = events.QUERIES["agg_23_recurrence_table"](spark, str(tmp_path)).collect()
+    assert [r.id for r in got] == [49732, 10043, 268, 10268, 35293]  # equal ones in order
+    cur = c.execute(events.SQL["agg_23_recurrence_table"])
+    columns = [d[0] for d in cur.description]
+    assert sorted(tuple(r[n] for n in columns) for r in got) == sorted(cur.fetchall())
