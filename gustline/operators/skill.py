@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.functions.geo import Grid
@@ -114,24 +114,40 @@ def conditional_merge(cells: DataFrame, gauges: DataFrame) -> DataFrame:
 
 
 def leave_one_out(gauges: DataFrame) -> DataFrame:
-    """(method, n, rmse, mae, bias, ratio) of raw radar (raw), the mean-field (mfb) and local corrections (lbc) and the conditional merge (cm) at each held-out gauge (id, x, y, val, radar)."""
-    g = gauges.where("val is not null and radar is not null").select("id", "x", "y", "val", "radar")
-    rows, several = _beside(g, g.select("id", "x", "y", "val", "radar"))
+    """(method, n, rmse, mae, bias, ratio) of raw radar (raw), the mean-field (mfb) and local corrections (lbc) and the conditional merge (cm) at each held-out gauge (id, x, y, val, radar).
 
-    def w(s: Column) -> Column:
-        return _weight(F.col("x"), F.col("y"), s["x"], s["y"], 2.0, 1.0)
-
-    def ratio(s: Column) -> Column:
-        wet = (s["val"] > 0) & (s["radar"] > 0)
-        return F.when(wet, F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.log(F.when(wet, s["val"]) / F.when(wet, s["radar"])))))
-
-    terms = {
-        "sum_val": lambda s: s["val"], "sum_radar": lambda s: s["radar"], "n_wet": lambda s: F.when((s["val"] > 0) & (s["radar"] > 0), 1), "w": w,
-        "w_wet": lambda s: F.when((s["val"] > 0) & (s["radar"] > 0), w(s)), "l": lambda s: w(s) * ratio(s),
-        "at": lambda s: w(s) * F.log1p(F.greatest(s["radar"], F.lit(0.0))), "of": lambda s: w(s) * F.log1p(F.greatest(s["val"], F.lit(0.0))),
+    A weight depends on where two gauges stand, so places meet places, each with
+    the sums of its gauges: gauges at one place cost no more than one. Every
+    other id counts, those at the same place too.
+    """
+    g = gauges.where("val is not null and radar is not null and id is not null").select("id", "x", "y", "val", "radar")
+    val, radar = F.col("val"), F.col("radar")
+    wet = (val > 0) & (radar > 0)
+    ratio = F.greatest(F.lit(-2.5), F.least(F.lit(2.5), F.log(F.when(wet, val) / F.when(wet, radar))))
+    of = {
+        "n": F.lit(1), "n_wet": F.when(wet, 1).otherwise(0), "sum_val": val, "sum_radar": radar, "l": F.when(wet, ratio).otherwise(0.0),
+        "at": F.log1p(F.greatest(radar, F.lit(0.0))), "of": F.log1p(F.greatest(val, F.lit(0.0))),
     }
-    other = {k: (lambda s, f=f: F.when(s["id"] != F.col("id"), f(s))) for k, f in terms.items()}
-    per = _sums(rows, ["id"], several, other).where("w > 0")
+    places = g.groupBy("x", "y").agg(*(F.sum(c.cast("double")).alias(k) for k, c in of.items()))
+    rows, several = _beside(places, places)
+
+    def elsewhere(s: Column, value: Column) -> Column:
+        return F.when(~(s["x"].eqNullSafe(F.col("x")) & s["y"].eqNullSafe(F.col("y"))), value)
+
+    def weighted(s: Column, k: str) -> Column:
+        return _weight(F.col("x"), F.col("y"), s["x"], s["y"], 2.0, 1.0) * s[k]
+
+    plain = ("n_wet", "sum_val", "sum_radar")
+    heavy = {"w": "n", "w_wet": "n_wet", "l": "l", "at": "at", "of": "of"}
+    terms = {f"__{k}": (lambda s, k=k: elsewhere(s, s[k])) for k in plain} | {f"__w_{k}": (lambda s, k=k: elsewhere(s, weighted(s, k))) for k in heavy.values()}
+    others = _sums(rows, ["x", "y"], several, terms).select(F.col("x").alias("__x"), F.col("y").alias("__y"), *(F.col(k).alias(f"__at_{k}") for k in of), *terms)
+    own = Window.partitionBy("id", "x", "y")
+    for k, c in of.items():
+        g = g.withColumn(f"__own_{k}", F.sum(c.cast("double")).over(own))
+    per = g.join(others, F.col("x").eqNullSafe(F.col("__x")) & F.col("y").eqNullSafe(F.col("__y")))
+    beside = {k: F.col(f"__at_{k}") - F.col(f"__own_{k}") for k in of}
+    here = F.coalesce(_weight(F.col("x"), F.col("y"), F.col("x"), F.col("y"), 2.0, 1.0), F.lit(0.0))
+    per = per.select("val", "radar", *((F.col(f"__{k}") + beside[k]).alias(k) for k in plain), *((F.col(f"__w_{k}") + here * beside[k]).alias(name) for name, k in heavy.items())).where("w > 0")
     factor = F.when(F.col("sum_radar") > 0, F.col("sum_val") / F.col("sum_radar")).otherwise(1.0)
     radar = F.greatest("radar", F.lit(0.0))
     merged = F.expm1(F.log1p(radar) - F.col("at") / F.col("w") + F.col("of") / F.col("w"))

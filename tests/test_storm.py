@@ -215,3 +215,31 @@ def test_recurrence_table_to_the_last_place_and_order(spark, tmp_path):
     cur = c.execute(events.SQL["agg_23_recurrence_table"])
     columns = [d[0] for d in cur.description]
     assert sorted(tuple(r[n] for n in columns) for r in got) == sorted(cur.fetchall())
+
+
+def test_leave_one_out_by_place(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, *(r.choice([(0.0, 0.0), (900.0, 40.0), (3000.0, -7.0)]) if i < 30 else (50.0 * i, 3.0)), r.choice([0.0, 1.5, 7.0, None]), r.choice([0.0, 2.0, 9.0])) for i in range(40)]
+    g = [x for x in rows if x[3] is not None]
+    want = {m: [] for m in ("raw", "mfb", "lbc", "cm")}
+    for i, x, y, v, d in g:
+        rest = [(1 / max(1.0, math.hypot(x - q[1], y - q[2])) ** 2, q[3], q[4]) for q in g if q[0] != i]
+        wet = [(w, math.log(a / b)) for w, a, b in rest if a > 0 and b > 0]
+        f, total = sum(q[1] for q in rest) / sum(q[2] for q in rest), sum(q[0] for q in rest)
+        want["raw"].append(d - v)
+        want["mfb"].append(d * f - v)
+        want["lbc"].append(d * math.exp(sum(w * max(-2.5, min(2.5, a)) for w, a in wet) / sum(w for w, _ in wet)) - v)
+        want["cm"].append(max(0.0, math.expm1(math.log1p(d) + sum(w * (math.log1p(a) - math.log1p(b)) for w, a, b in rest) / total)) - v)
+    df = spark.createDataFrame(rows, "id int, x double, y double, val double, radar double")
+    met = []
+    beside = skill._beside
+    monkeypatch.setattr(skill, "_beside", lambda t, s: (met.append((t.count(), s.count())), beside(t, s))[1])
+    for block in (4096, 4):
+        monkeypatch.setattr(skill, "BLOCK", block)
+        got = {x.method: x for x in skill.leave_one_out(df).collect()}
+        for m, e in want.items():
+            assert got[m].n == len(g) and got[m].bias == pytest.approx(sum(e) / len(e)) and got[m].rmse == pytest.approx(math.sqrt(sum(x * x for x in e) / len(e)))
+    there = len({x[1:3] for x in g})
+    assert met == [(there, there)] * 2 and there < len(g)  # places are paired, not gauges
