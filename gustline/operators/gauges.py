@@ -29,20 +29,44 @@ def _between(at: Column, s: Column, c: Column, s2: Column, c2: Column) -> Column
     return F.when(s2.isNull(), c).otherwise(c + (c2 - c) * (at - s) / (s2 - s))
 
 
+def _segments(obs: DataFrame, back: int = 0) -> DataFrame:
+    """(station_id, s0, low, high, s, c, s2, c2, before): a report with the steps from low to high that lie from it to the next, one at least, of a minute each from the first report on.
+
+    before holds the depths at the ``back`` steps before low, or as many as
+    there are, the last one last. Segments are looked back at, ``back`` at most,
+    never minutes.
+    """
+    o = _reports(obs)
+    low = F.ceil((F.col("s") - F.col("s0")) / 60)
+    high = F.when(F.col("s2").isNull(), low).otherwise(F.ceil((F.col("s2") - F.col("s0")) / 60) - 1)
+    o = o.withColumn("low", low).withColumn("high", high).where("high >= low")
+    by = Window.partitionBy("station_id").orderBy("low")
+    if back == 1:
+        o = o.withColumn("__at", _between(F.col("s0") + F.col("high") * 60, F.col("s"), F.col("c"), F.col("s2"), F.col("c2")))
+        return o.withColumn("before", F.lag("__at").over(by)).drop("__at")
+    # the steps have no gap, so what reaches back to low - back comes before what begins at low - back + 1
+    o = o.withColumn("__before", F.lag(F.struct("low", "high", "s", "c", "s2", "c2")).over(by))
+    o = o.withColumn("__before", F.collect_list("__before").over(by.rangeBetween(1 - back, 0)))
+    steps = lambda g: F.sequence(F.greatest(g["low"], F.col("low") - back), g["high"])
+    depths = lambda g: F.transform(steps(g), lambda k: _between(F.col("s0") + k * 60, g["s"], g["c"], g["s2"], g["c2"]))
+    return o.withColumn("before", F.flatten(F.transform("__before", depths))).drop("__before")
+
+
+def _total(k: Column) -> Column:
+    return _between(F.col("s0") + k * 60, F.col("s"), F.col("c"), F.col("s2"), F.col("c2"))
+
+
 def per_minute(obs: DataFrame) -> DataFrame:
     """(station_id, k, s, total, mm): the cumulative depth, interpolated every 60 s from each station's first report.
 
     s is in epoch seconds, k counts from 0. The last step may lie beyond the
     last report and then takes its depth. mm is the step's increment, 0 at first.
+    Reports are sorted, the minutes are not: none is kept, spilled or exchanged.
     """
-    o = _reports(obs)
-    low = F.ceil((F.col("s") - F.col("s0")) / 60)
-    high = F.when(F.col("s2").isNull(), low).otherwise(F.ceil((F.col("s2") - F.col("s0")) / 60) - 1)
-    steps = o.withColumn("k", F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
-    at = F.col("s0") + F.col("k") * 60
-    out = steps.select("station_id", "k", at.alias("s"), _between(at, F.col("s"), F.col("c"), F.col("s2"), F.col("c2")).alias("total"))
-    mm = F.col("total") - F.lag("total").over(Window.partitionBy("station_id").orderBy("k"))
-    return out.withColumn("mm", F.coalesce(mm, F.lit(0.0)))
+    o = _segments(obs, 1).withColumn("k", F.explode(F.sequence("low", "high")))
+    total = _total(F.col("k"))
+    mm = total - F.when(F.col("k") > F.col("low"), _total(F.col("k") - 1)).otherwise(F.col("before"))
+    return o.select("station_id", "k", (F.col("s0") + F.col("k") * 60).alias("s"), total.alias("total"), F.coalesce(mm, F.lit(0.0)).alias("mm"))
 
 
 def peaks(minutes: DataFrame, durations: tuple[int, ...] = (5, 15, 30, 60)) -> DataFrame:

@@ -217,6 +217,37 @@ def test_recurrence_table_to_the_last_place_and_order(spark, tmp_path):
     assert sorted(tuple(r[n] for n in columns) for r in got) == sorted(cur.fetchall())
 
 
+@pytest.fixture(scope="module")
+def uneven(spark):
+    import random
+
+    r = random.Random(7)
+    rows = []
+    for station, n in ((1, 1), (2, 2), (3, 60), (4, 200), (5, 300)):
+        s = r.randint(0, 1000)
+        for _ in range(n):
+            rows.append((station, s, r.choice([0.0, 0.3, 2.0, -1.0, None])))
+            s += r.choice([7, 60, 61, 290, 900, 4000]) if station < 5 else r.choice([1, 20, 59, 60])
+    return spark.createDataFrame(rows, "station_id int, s long, precip double").select("station_id", F.timestamp_seconds("s").alias("ts"), "precip")
+
+
+def sorts_of_minutes(df):
+    """Sorts above the operator that makes minutes of reports."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    prepared = df._jdf.queryExecution().executedPlan().toString()
+    assert "explode" in plan
+    return prepared[: prepared.index("Generate explode")].count("Sort [") + prepared[: prepared.index("Generate explode")].count("Exchange ")
+
+
+def test_minutes_are_not_sorted(spark, uneven):
+    m = gauges.per_minute(uneven)
+    assert sorts_of_minutes(m) == 0
+    rows = m.orderBy("station_id", "k").collect()
+    for a, b in zip([None, *rows], rows):
+        first = a is None or a.station_id != b.station_id
+        assert b.k == (0 if first else a.k + 1) and b.mm == (0 if first else b.total - a.total)
+
+
 def test_leave_one_out_by_place(spark, monkeypatch):
     import random
 
