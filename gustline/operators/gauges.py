@@ -144,10 +144,23 @@ def storm_window(minutes: DataFrame, pad_minutes: int = 30, cover: float = 0.99)
 
 
 def series(minutes: DataFrame) -> DataFrame:
-    """rate and trailing intensities by differences of the total; NULL until a window is full."""
+    """rate and trailing intensities by differences of the total; NULL until a window is full. It sorts the minutes; see report_series."""
     by = Window.partitionBy("station_id").orderBy("k")
 
     def diff(d: int) -> Column:
         return (F.col("total") - F.lag("total", d).over(by)) * 60 / d
 
     return minutes.select("station_id", "k", "s", "total", (F.col("mm") * 60).alias("rate"), diff(5).alias("i5"), ((diff(16) + diff(14)) / 2).alias("i15"), diff(30).alias("i30"), diff(60).alias("i60"))
+
+
+def report_series(obs: DataFrame) -> DataFrame:
+    """series(per_minute(obs)) without a sort of the minutes: all intensities of a window on one report's line are the line's, an earlier depth is among the 60 before it."""
+    line = F.coalesce((F.col("c2") - F.col("c")) * 3600 / (F.col("s2") - F.col("s")), F.lit(0.0))
+    o = _segments(obs, 60).withColumn("line", line).withColumn("n", F.size("before")).withColumn("k", F.explode(F.sequence("low", "high")))
+    out = o.select("station_id", "k", "low", "n", "line", "before", (F.col("s0") + F.col("k") * 60).alias("s"), _total(F.col("k")).alias("total"), (F.col("k") - F.col("low")).cast("int").alias("j"))
+
+    def diff(d: int) -> Column:
+        crossing = F.when(F.col("n") + F.col("j") >= d, (F.col("total") - F.get("before", F.col("n") + F.col("j") - d)) * 60 / d)
+        return F.when(F.col("j") >= d, F.col("line")).otherwise(crossing)
+
+    return out.select("station_id", "k", "s", "total", F.coalesce(diff(1), F.lit(0.0)).alias("rate"), diff(5).alias("i5"), ((diff(16) + diff(14)) / 2).alias("i15"), diff(30).alias("i30"), diff(60).alias("i60"))

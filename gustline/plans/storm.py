@@ -129,7 +129,7 @@ def _(v):
 
 @query("win_06_series", f"WITH {_MINUTES}, e AS (SELECT station_id, k, total, (total - lag(total, 5) OVER w) * 12 AS i5, ((total - lag(total, 16) OVER w) * 60 / 16 + (total - lag(total, 14) OVER w) * 60 / 14) / 2 AS i15, (total - lag(total, 60) OVER w) AS i60 FROM i WINDOW w AS (PARTITION BY station_id ORDER BY k)) SELECT station_id, count(i5) AS n5, count(i15) AS n15, count(i60) AS n60, round(max(i5), 5) AS i5, round(max(i15), 5) AS i15, round(max(i60), 5) AS i60 FROM e GROUP BY 1")
 def _(v):
-    s = gauges.series(gauges.per_minute(v("v_gauge_obs")))
+    s = gauges.report_series(v("v_gauge_obs"))
     return s.groupBy("station_id").agg(*(F.count(f"i{d}").alias(f"n{d}") for d in (5, 15, 60)), *(F.round(F.max(f"i{d}"), 5).alias(f"i{d}") for d in (5, 15, 60)))
 
 

@@ -248,6 +248,14 @@ def test_minutes_are_not_sorted(spark, uneven):
         assert b.k == (0 if first else a.k + 1) and b.mm == (0 if first else b.total - a.total)
 
 
+def test_a_series_of_reports_is_that_of_their_minutes(spark, uneven):
+    from pyspark.testing import assertDataFrameEqual
+
+    got = gauges.report_series(uneven)
+    assert sorts_of_minutes(got) == 0
+    assertDataFrameEqual(got, gauges.series(gauges.per_minute(uneven)), rtol=0, atol=1e-9)
+
+
 def test_leave_one_out_by_place(spark, monkeypatch):
     import random
 
