@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents and benchmark items are cut into overlapping windows of words. A
-randomised SVD of the TF-IDF matrix of a bounded sample of windows, computed
+randomised SVD of the TF-IDF matrix of the windows of all documents, computed
 by products that run on the executors, gives a latent space; every window of
 every document is projected into it, and those whose cosine with a window of an
 item is high are candidates. So is, whatever its weights, a passage that shares
@@ -27,6 +27,7 @@ from gustline.llm.common import by_text, id_and_text, in_arrow, materialize, set
 BLOCK = 16  # words; a window is two blocks, and one begins at each block
 RUN = 3  # words
 SLICE = 1 << 14  # words that are multiplied at a time
+DENSE = 1 << 10  # the same where a matrix of windows x distinct words is filled in
 _MARKS = b".,;:!?\"'()[]{}|*#%&$<>~-_"
 _OUT = "doc_id long, item_id long, cosine double, matched int, item_words int"
 
@@ -123,22 +124,22 @@ class Windows:
 
 
 def gram_product(terms: list[np.ndarray], q: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, int]:
-    """(A'A)q for the rows A of the texts' windows, TF-IDF, each of length one; and how many windows there are. At most ``SLICE`` words are multiplied at a time."""
+    """(A'A)q for the rows A of the texts' windows, TF-IDF, each of length one; and how many windows there are. About ``DENSE`` words are multiplied at a time, as a dense matrix of windows and the words in them."""
     out, n = np.zeros_like(q), 0
-    weighted, known, square = q * idf[:, None], np.append(np.ones(len(idf), bool), False), np.append(idf * idf, 0)
-    for some, _, _ in slices(terms):
+    for some, _, _ in slices(terms, DENSE):
         w = Windows(some)
-        there = np.flatnonzero(w.is_window)
-        n += len(there)
-        each = np.zeros((w.n, q.shape[1]), np.float32)
-        each[there] = w.sums(weighted, known, there) / np.maximum(w.sum_of(square)[there, None], 1e-9)
-        each[1:] += np.where(w.last[:-1, None], 0, each[:-1])  # a block is in its own window and in the one before
+        n += int(w.is_window.sum())
         at = np.flatnonzero(w.ids >= 0)
-        at = at[np.argsort(w.ids[at], kind="stable")]
-        if len(at):
-            ids = w.ids[at]
-            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            out[ids[starts]] += np.add.reduceat(each[w.where[at]], starts) * idf[ids[starts], None]
+        if not len(at):
+            continue
+        kinds, of = np.unique(w.ids[at], return_inverse=True)
+        a = np.bincount(w.where[at] * len(kinds) + of, minlength=w.n * len(kinds)).reshape(w.n, len(kinds)).astype(np.float32)
+        a[:-1] += np.where(w.last[:-1, None], 0, a[1:])
+        a = a[w.is_window]
+        weights = idf[kinds]
+        square = np.maximum(a @ (weights * weights), 1e-9)
+        a *= weights
+        out[kinds] += a.T @ (a @ q[kinds] / square[:, None])
     return out, n
 
 
@@ -222,21 +223,33 @@ class Runs:
 # --- the latent space -------------------------------------------------------
 
 
-def vocabulary(docs: DataFrame, items: list[str], sample: int, terms: int) -> list[bytes]:
-    """All words of the items, and the sample's most frequent ones up to ``terms`` in total."""
-    own = sorted({w for t in items for w in normal_words(t)})
+def frequent_words(docs: DataFrame, most: int, at_once: int = 100_000) -> list[bytes]:
+    """The ``most`` words that are in the most documents, in two at least; all words of all documents are counted. A task holds about ``at_once`` words and lets Spark sum the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Counter()
+
+        def counts() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
+            c.clear()
+            return out
+
         for _, texts in by_text(batches):
             for t in texts:
                 c.update(set(normal_words(t)))
-        top = c.most_common(4 * terms)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["w", "n"])
+                if len(c) >= at_once:
+                    yield counts()
+        yield counts()
 
-    rest = docs.transform(in_arrow, run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(terms).collect()
+    rows = id_and_text(docs).transform(in_arrow, run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()
+    return [bytes(r["w"]) for r in rows]
+
+
+def vocabulary(frequent: list[bytes], items: list[str], terms: int) -> list[bytes]:
+    """All words of the items, and the most frequent ones up to ``terms`` in total."""
+    own = sorted({w for t in items for w in normal_words(t)})
     have = set(own)
-    return (own + [bytes(r["w"]) for r in rest if bytes(r["w"]) not in have][: max(0, terms - len(own))])
+    return own + [w for w in frequent if w not in have][: max(0, terms - len(own))]
 
 
 def document_frequencies(docs: DataFrame, words: list[bytes], items: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -296,15 +309,17 @@ class Space:
 UNKNOWN, COMMON = 6.0, 0.02
 
 
-def latent_space(sample: DataFrame, items: list[str], words: list[bytes], idf: np.ndarray, rank: int = 256, rounds: int = 3, weight: float = 100.0, seed: int = 11) -> Space:
-    """Randomised SVD of the TF-IDF windows of the sample and the items: a range finder with power iterations.
+def latent_space(docs: DataFrame, items: list[str], words: list[bytes], idf: np.ndarray, rank: int = 256, rounds: int = 3, weight: float = 100.0, seed: int = 11) -> Space:
+    """Randomised SVD of the TF-IDF windows of all documents and the items: a range finder with power iterations.
 
-    Each round's product (A'A)Q is summed on the executors; a task sends one
-    terms x rank matrix, and there are at most four tasks. The items' windows
-    weigh ``weight`` times the sample's, so that the space keeps what tells items
-    apart before what tells languages apart.
+    Each round's product (A'A)Q is summed on the executors; a task leaves one
+    terms x rank matrix in the shared folder, and there are no more tasks than
+    run at once. The items' windows weigh ``weight`` times the documents', so
+    that the space keeps what tells items apart before what tells languages
+    apart.
     """
-    spark = sample.sparkSession
+    spark = docs.sparkSession
+    docs = id_and_text(docs).coalesce(spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast((words, idf))
     own = Terms(words)(items)
     rank = max(1, min(rank, len(words), int(Windows(own).is_window.sum())))
@@ -313,16 +328,16 @@ def latent_space(sample: DataFrame, items: list[str], words: list[bytes], idf: n
         sent = spark.sparkContext.broadcast(q)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (terms, idf), total, n = shared.value, np.zeros_like(sent.value), 0
+            (terms, idf), total, n = shared.value, np.zeros(sent.value.shape), 0
             of = Terms(terms)
             for texts in (g for _, texts in by_text(batches) for _, g in groups(texts)):
                 some, windows = gram_product(of(texts), sent.value, idf)
                 total += some
                 n += windows
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["z", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["z", "n"])
 
         z, n = np.zeros_like(q), 0
-        for r in sample.coalesce(4).transform(in_arrow, run, "z binary, n long").toLocalIterator():
+        for r in materialize(docs.transform(in_arrow, run, "z binary, n long"), "products").toLocalIterator():
             z += np.frombuffer(r["z"], np.float32).reshape(z.shape)
             n += r["n"]
             del r
@@ -434,17 +449,17 @@ def _search_kernel(shared, cosine: float, sure: float, likely: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, sure: float = 0.75, likely: float = 0.6, rank: int = 256, sample: int = 2_000, terms: int = 8_000, max_share: float = 0.1, at_once: int = 16_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, sure: float = 0.75, likely: float = 0.6, rank: int = 256, terms: int = 8_000, max_share: float = 0.1, at_once: int = 16_000) -> DataFrame:
     """(doc_id, item_id, cosine, matched, item_words) of every document that holds a benchmark item.
 
     matched words of the item stand in the document in order: at least the share
     ``sure``, or ``likely`` with half of the answer. cosine is null where only
-    shared runs of words led to the passage. The space is fitted on
-    ``sample`` documents (smallest hash of doc_id) and all items; frequencies
-    count, and the search covers, every window of every document. Terms in over
+    shared runs of words led to the passage. The vocabulary is
+    counted, the space is fitted and the search is done over every window of
+    every document, the space with all items. Terms in over
     ``max_share`` of the documents carry no weight unless an item has no other.
     Items go in blocks of ``at_once`` distinct words, which bounds
-    what is broadcast, two passes over the documents each. Null and
+    what is broadcast: five passes over the documents each, and one for all. Null and
     empty texts match nothing; a document with several doc_id rows is searched
     row by row; other columns are left out; empty tables give no rows.
     """
@@ -454,18 +469,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, sur
     out, block, kinds = None, [], set()
 
     def search(block: list[tuple[int, str]], out: DataFrame | None) -> DataFrame:
+        nonlocal frequent
+        if frequent is None:
+            frequent = frequent_words(docs, terms)
         texts = [t for _, t in block]
-        words = vocabulary(some, texts, sample, terms)
+        words = vocabulary(frequent, texts, terms)
         df, apart, n = document_frequencies(docs, words, texts)
         df = np.where(df <= max(1, max_share * n), df, apart)
         idf = np.where(df <= max(1, max_share * n), np.log((n + 1) / (df + 1)), COMMON).astype(np.float32)
-        space = latent_space(some, texts, words, idf, rank)
+        space = latent_space(docs, texts, words, idf, rank)
         shared = spark.sparkContext.broadcast((space, Items(block, space)))
         found = id_and_text(docs).transform(in_arrow, _search_kernel(shared, cosine, sure, likely), _OUT)
         return found if out is None else out.union(found)
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = materialize(id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text"), "sample")
+    frequent: list[bytes] | None = None
     for r in rows:
         if words := normal_words(r["t"]):
             block.append((r["i"], r["t"]))

@@ -336,6 +336,34 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0 and decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def test_words_and_space_of_decontamination_come_from_all_documents(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(i % 60))) for i in range(3000)] + [(None, "rare rare"), (3000, "rare")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want: dict = {}
+    for _, t in rows:
+        for w in set(t.split()):
+            want[w] = want.get(w, 0) + 1
+    top = [w.encode() for w in sorted(want, key=lambda w: (-want[w], w)) if want[w] > 1]
+    assert decontaminate.frequent_words(d, 100, 7) == top and decontaminate.frequent_words(d, 5) == top[:5] and b"rare" in top
+    items = ["w1 w2 w3 w4 w5 w6. w7 w8."]
+    words = decontaminate.vocabulary(top, items, 100)
+    idf = np.linspace(1, 2, len(words)).astype(np.float32)
+    fitted = decontaminate.latent_space(d, items, words, idf, rank=1, rounds=2, weight=1.0)
+    of = decontaminate.Terms(words)
+    a = []
+    for t in (t for _, t in rows):
+        k = of([t])[0]
+        for b in range(0, max(1, (len(k) - 1) // 16 * 16), 16):
+            v = np.bincount(k[b : b + 32][k[b : b + 32] >= 0], minlength=len(words)) * idf
+            a.append(v / max(1e-9, np.sqrt((idf[k[b : b + 32]] ** 2).sum())) if len(k) else v)
+    a, mine = np.array(a), np.bincount(of(items)[0], minlength=len(words)) * idf
+    gram = a.T @ a / len(a) + np.outer(mine, mine) / (idf[of(items)[0]] ** 2).sum()
+    q = np.linalg.qr(np.random.default_rng(11).normal(size=(len(words), 1)))[0]
+    for _ in range(2):
+        q = np.linalg.qr(gram @ q)[0]
+    assert np.allclose(np.abs(fitted.basis[:, 0]), np.abs(q[:, 0] * idf), atol=1e-4)
+
+
 def test_decontamination_of_an_item_in_many_documents(spark):
     r = random.Random(14)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
