@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,6 +365,54 @@ def test_words_and_space_of_decontamination_come_from_all_documents(spark, monke
     assert np.allclose(np.abs(fitted.basis[:, 0]), np.abs(q[:, 0] * idf), atol=1e-4)
 
 
+def test_decontamination_reads_the_texts_twice(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5)))
+    items = [" ".join(word() for _ in range(40)) for _ in range(8)]
+    rows = [(i, " ".join([*(word() for _ in range(r.randint(0, 80))), *([items[i % 8]] if i % 9 == 0 else [])])) for i in range(300)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    found = decontaminate.contaminated(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == {(i, i % 8) for i in range(300) if i % 9 == 0}
+    assert read.value == 2 * len(rows)  # once for the words, once for their numbers: products and search read those
+
+
+def test_words_and_their_numbers(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice(" \t\n\x0b\x0c\r\x1c\x1f\x85AZa.b,-é ") for _ in range(r.randint(0, 40))) for _ in range(2000)] + ["", "  ", "...", "a" * 100_000]
+    of, words = decontaminate.bare_words(pa.array(texts))
+    assert list(zip(of.tolist(), words.to_pylist())) == [(i, w) for i, t in enumerate(texts) for w in decontaminate.normal_words(t)]
+    for more in (0, 40_000):  # numbers of two bytes and of four
+        known = [f"w{i}".encode() for i in range(more)] + sorted(set(words.to_pylist()))[::2]
+        number = {w: i for i, w in enumerate(known)}
+        rows = decontaminate.number(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).toArrow().to_batches()
+        got = dict(x for ids, terms in decontaminate.by_terms(iter(rows), len(known), 1000) for x in zip(ids, terms))
+        assert all(got[i].tolist() == [number.get(w, -1) for w in decontaminate.normal_words(t)] for i, t in enumerate(texts)) and len(got) == len(texts)
+
+
+def test_a_round_from_the_space_of_the_items_holds_more_than_three(spark):
+    r = random.Random(5)
+    items = [" ".join(f"i{r.randint(0, 300)}" for _ in range(40)) for _ in range(30)]
+    texts = [" ".join(f"{r.choice('iw')}{int(r.paretovariate(0.5)) % 400}" for _ in range(100)) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = decontaminate.vocabulary(decontaminate.frequent_words(d, 500), items, 500)
+    idf = np.ones(len(words), np.float32)
+    of = decontaminate.Terms(words)
+
+    def held(**how):
+        q = decontaminate.latent_space(d, items, words, idf, rank=20, **how).basis
+        (z, n), (mine, k) = decontaminate.gram_product(of(texts), q, idf), decontaminate.gram_product(of(items), q, idf)
+        return float((q * (z * (k / n) + 100 * mine)).sum())
+
+    assert held(rounds=1, warm=8) > held(rounds=3)
+
+
 def test_decontamination_of_an_item_in_many_documents(spark):
     r = random.Random(14)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
