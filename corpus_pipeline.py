@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm.common import materialize, ship_package, table
+from gustline.llm.common import materialize, settle, ship_package, table
 from gustline.llm.decontaminate import contaminated
 from gustline.llm.neardup import near_duplicates
 from gustline.llm.packing import pack
@@ -26,6 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id or text are scored each on their own and come out alike; all columns
     stay, whatever their names; an empty table gives no rows.
     """
+    settle(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model, 0.3, keep=True).where("__predicted = 1").select(*_names(docs))
 
@@ -52,6 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; null texts stay null, other columns as they are, each row on its own."""
+    settle(spark)
     return redact(docs)
 
 
@@ -62,6 +64,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and rows without one are packed each on their own; other columns are left
     out; an empty table gives no rows.
     """
+    settle(spark)
     return pack(docs, default_tokenizer(), most=1024, with_ids=False, keep=100_000)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -141,10 +142,20 @@ def give_back() -> None:
 
 
 def settle(spark: SparkSession) -> None:
-    """Collect the driver's garbage, which also tells executors to drop the broadcasts and shuffle files that nothing refers to any more."""
+    """Collect the driver's garbage, which also tells executors to drop the broadcasts and shuffle files that nothing refers to any more; then the executors'.
+
+    An executor's heap grows as far as it may, whatever it holds, and stays so
+    while Python workers need memory beside it; a full collection gives back what
+    is free, classes of ended queries among it. A task for each core reaches all
+    executors that are idle; calls at once in one of them are one collection.
+    """
     give_back()
     gc.collect()  # plans that only dead Python objects hold
-    spark.sparkContext._jvm.System.gc()
+    sc = spark.sparkContext
+    sc._jvm.System.gc()
+    if not re.match(r"local(\[|$)", sc.master):  # there the driver is the executor
+        n = sc.defaultParallelism
+        spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
 
 
 def in_arrow(df: DataFrame, kernel: Callable, schema: str | StructType) -> DataFrame:

@@ -104,3 +104,20 @@ def test_all_stages(spark, corpus):
     plain = {i for i, k in corpus[1].items() if k in ("plain", "pii")}
     assert len(plain & kept) >= 0.97 * len(plain) and not {i for i, k in corpus[1].items() if k in ("junk", "leak")} & kept
     assert all(kept.isdisjoint(x) or len(kept & x) == 1 for x in ({3, 400}, {4, 401}))
+
+
+def test_settle_collects_the_garbage_of_executors(spark):
+    from types import SimpleNamespace
+
+    from gustline.llm.common import settle
+
+    sc, ran = spark.sparkContext, []
+    beans = sc._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    count = lambda: sum(b.getCollectionCount() for b in beans)
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", defaultParallelism=3, _jvm=SimpleNamespace(System=SimpleNamespace(gc=lambda: None))), range=lambda *a: ran.append(a) or spark.range(*a))
+    before = count()
+    settle(far)
+    assert ran == [(0, 3, 1, 3)] and count() > before
+    near = SimpleNamespace(sparkContext=SimpleNamespace(master="local[4]", _jvm=far.sparkContext._jvm), range=far.range)
+    settle(near)
+    assert len(ran) == 1
